@@ -14,16 +14,13 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, share: floa
     return counts.filter(F.col(n) > F.lit(max(1.0, total * share)))
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
-    """Inner join of ``rows`` to ``lookup`` (one row a key). Hot keys meet their lookup row by broadcast, where they
-    lie, and are never shuffled; the others meet by a shuffle. ``hot``: the hot keys, bounded as in hot_keys."""
-    if hot is None:
-        return rows.join(lookup, keys)
-    hot = hot.select(*keys)
-    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    tagged = rows.join(marked, keys, "left")
-    few = lookup.join(F.broadcast(hot), keys, "left_semi")
-    return (
-        tagged.filter(F.col("__hot")).drop("__hot").join(F.broadcast(few), keys)
-        .unionByName(tagged.filter(F.col("__hot").isNull()).drop("__hot").join(lookup, keys))
-    )
+def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, total: int, share: float = HOT_SHARE) -> DataFrame:
+    """Left join of ``rows`` to ``lookup``, which has one row a key and, in ``n``, how many of the ``total`` rows have
+    it. Rows of hot keys meet their lookup row by broadcast, where they lie; the others meet theirs in a shuffle.
+    ``lookup`` must be materialised: it is counted first."""
+    hot = hot_keys(lookup, keys, n, total, share)
+    if hot.isEmpty():
+        return rows.join(lookup.drop(n), keys, "left")
+    tagged = rows.join(F.broadcast(hot.drop(n).withColumn("__hot", F.lit(True))), keys, "left")
+    cold = tagged.filter(F.col("__hot").isNull()).select(*rows.columns).join(lookup.drop(n), keys, "left")
+    return tagged.filter(F.col("__hot")).drop("__hot").unionByName(cold)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.references import Reference, orphan_references, orphans_by_period
+from ..operators.timestamps import normalise_timestamps, written_date
 from ..session import table
 
 
@@ -26,6 +27,15 @@ def p7_by_period(spark: SparkSession, d: str) -> DataFrame:
     return orphans_by_period(_references(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    zones = table(spark, d, "state_zones")
+    names = zones.select(F.explode(F.array(F.lower("state_norm"), F.lower("state_abbrev"))).alias("state"), "zone_name").distinct()
+    rows = table(spark, d, "vouchers").select("voucher_id", "eventDate", "year", "month", "day", F.lower(F.trim("stateProvince")).alias("state"))
+    blank = F.col("eventDate").isNull() | (F.trim("eventDate") == "")
+    rows = rows.filter((blank & F.col("year").isNotNull()) | (~blank & ~written_date(F.col("eventDate")))).join(names, "state", "left")
+    return normalise_timestamps(rows, "eventDate", "zone_name", "year", "month", "day").select("voucher_id", "event_norm")
+
+
 P7_FOUND_SQL = """
 SELECT 'extracted_leaves' AS source_table, leaf_row_id AS record_id, 'vouchers' AS target_table, strftime(extracted_at, '%Y-%m') AS period_month
 FROM extracted_leaves e WHERE catalogNumber IS NOT NULL AND NOT EXISTS (SELECT 1 FROM vouchers v WHERE v.catalogNumber = e.catalogNumber)
@@ -38,7 +48,7 @@ SELECT 'genetic_lineage_assignments', assignment_id, 'genomic_samples', strftime
 FROM genetic_lineage_assignments a WHERE genetic_sample_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM genomic_samples g WHERE g.genetic_sample_id = a.genetic_sample_id)
 """
 
-QUERIES = {"p7_found": p7_found, "p7_by_period": p7_by_period}
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_by_period": p7_by_period}
 SQL = {
     "p7_found": P7_FOUND_SQL,
     "p7_by_period": f"SELECT source_table, target_table, period_month, count(*) AS n_orphans FROM ({P7_FOUND_SQL}) GROUP BY ALL",
