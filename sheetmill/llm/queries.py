@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
 from .canonical import map_to_canonical
+from .shared_spans import shared_share
 from .survivors import gathering_key, surviving_records, tier_rank
 
 FILLED = ("identifiedBy", "type_status", "county", "locality", "decimalLatitude", "decimalLongitude", "coordinateUncertainty", "image_path")
@@ -48,5 +49,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    return shared_share(docs, length="n_chars").select("doc_id", "shared_tenths")
+
+
+QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p4_found": p4_found}
 SQL = {"p2_found": P2_FOUND_SQL}
