@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
 from .canonical import map_to_canonical
+from .leakage import leaked_passages, leaks
+from .packing import fill_containers
 from .shared_spans import shared_share
 from .survivors import gathering_key, surviving_records, tier_rank
 
@@ -49,10 +51,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return fill_containers(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
     return shared_share(docs, length="n_chars").select("doc_id", "shared_tenths")
 
 
-QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p2_found": p2_found, "p4_found": p4_found}
 SQL = {"p2_found": P2_FOUND_SQL}
