@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import table
 from .canonical import map_to_canonical
 from .leakage import leaked_passages, leaks
+from .names import link_names, name_pairs
 from .packing import fill_containers
 from .shared_spans import shared_share
 from .survivors import gathering_key, surviving_records, tier_rank
@@ -14,6 +15,15 @@ from .survivors import gathering_key, surviving_records, tier_rank
 FILLED = ("identifiedBy", "type_status", "county", "locality", "decimalLatitude", "decimalLongitude", "coordinateUncertainty", "image_path")
 
 
+def _spellings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "vouchers").select(F.explode(F.array("recordedBy", "identifiedBy")).alias("name"))
+    return rows.filter(F.trim("name") != "").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_pairs(link_names(_spellings(spark, d)))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "vouchers")
     return surviving_records(rows, gathering_key(F.col("exsiccatae_key")), "catalogNumber", tier_rank(F.col("determiner_tier")), FILLED, "updated_at", "first_catalog_number", "survivor_catalog_number")
@@ -68,5 +78,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, length="n_chars").select("doc_id", "shared_tenths")
 
 
-QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found}
 SQL = {"p2_found": P2_FOUND_SQL}
