@@ -24,3 +24,16 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, tot
     tagged = rows.join(F.broadcast(hot.drop(n).withColumn("__hot", F.lit(True))), keys, "left")
     cold = tagged.filter(F.col("__hot").isNull()).select(*rows.columns).join(lookup.drop(n), keys, "left")
     return tagged.filter(F.col("__hot")).drop("__hot").unionByName(cold)
+
+
+#: A lookup of at most so many rows of a few numbers (some 50 MB) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, n: str, total: int) -> DataFrame:
+    """Join ``rows`` to ``lookup`` (one row a key, materialised): by broadcast if its counted size allows it, or else
+    as left_lookup does, with only the hot keys broadcast. ``how``: 'inner' or 'left_semi'."""
+    if lookup.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup.drop(n)), keys, how)
+    found = left_lookup(rows, lookup.withColumn("__there", F.lit(True)), keys, n, total).filter(F.col("__there")).drop("__there")
+    return found.select(*rows.columns) if how == "left_semi" else found
