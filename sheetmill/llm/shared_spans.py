@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators.skew import left_lookup
-from ..session import cut
+from ..operators.skew import checked_join
+from ..session import cut_table
 from .texts import map_texts
 
 SPAN = 200
-#: Length of the substrings whose smallest hash a window belongs to.
-SEED = 50
+#: Length of the substrings whose smallest hash a window belongs to: shorter ones make fewer, more often shared segments.
+SEED = 80
 #: Windows handled at once; longer texts are taken in overlapping blocks.
 BLOCK = 1 << 19
 
@@ -111,19 +111,23 @@ def segments(docs: DataFrame, span: int = SPAN, seed: int = SEED, block: int = B
 
 
 def _window_hashes(docs: DataFrame, span: int) -> DataFrame:
-    """h, m, g, off, lo, hi: a hash for each window of the segments listed in ``docs`` (text, parts)."""
-    arrow = pa.schema([("h", pa.int64()), ("m", pa.int64()), ("g", pa.int64()), ("off", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
+    """h, g, off, lo, hi: a hash for each window of the segments listed in ``docs`` (text, parts)."""
+    arrow = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("off", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def kernel(rows: Iterator[dict]) -> Iterator[dict]:
         hasher = RollingHash()
         for r in rows:
-            codes = _codes(r["text"])
+            codes = _codes(r["text"] or "")
             for p in r["parts"]:
-                n = p["n"]
-                hasher.load(codes[p["start"] : p["start"] + n + span - 1])
-                yield {"h": hasher.windows(span).view(np.int64), "m": np.full(n, p["m"], np.int64), "g": np.full(n, p["g"], np.int64), "off": np.arange(n, dtype=np.int32), "lo": np.full(n, p["lo"], np.int64), "hi": np.full(n, p["hi"], np.int64)}
+                n, piece = p["n"], codes[p["start"] : p["start"] + p["n"] + span - 1]
+                if len(piece) < n + span - 1:
+                    continue  # another text under the same id
+                hasher.load(piece)
+                if hasher.spans(np.array([0]), np.array([len(piece)])).view(np.int64)[0] != p["g"]:
+                    continue
+                yield {"h": hasher.windows(span).view(np.int64), "g": np.full(n, p["g"], np.int64), "off": np.arange(n, dtype=np.int32), "lo": np.full(n, p["lo"], np.int64), "hi": np.full(n, p["hi"], np.int64)}
 
-    return map_texts(docs, kernel, "h bigint, m bigint, g bigint, off int, lo bigint, hi bigint", arrow)
+    return map_texts(docs, kernel, "h bigint, g bigint, off int, lo bigint, hi bigint", arrow)
 
 
 def shared_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, seed: int = SEED, block: int = BLOCK) -> DataFrame:
@@ -131,24 +135,33 @@ def shared_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     They may overlap within a record; merge them with shared_share or merged_intervals. Null texts and texts shorter
     than ``span`` share nothing; a text repeated within one record only is not shared; rows repeated under one id are
-    one record. Texts are taken whole, long ones in overlapping blocks.
+    one record. Texts are taken whole, long ones in overlapping blocks. Equal 64-bit hashes count as equal text.
+
+    Segments are written once; everything after works on those whose minimum occurs in two records. Counts are
+    partial sums before each shuffle, and lookups broadcast what was counted to be small or else only hot keys, so a
+    passage that a third of all records share costs one row a partition.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    segs = cut(segments(rows, span, seed, block))
-    kinds = cut(segs.groupBy("m", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("at"), F.max("n").alias("n"), F.count("*").alias("rows")))
-    minima = cut(kinds.groupBy("m").agg(F.min("lo").alias("mlo"), F.max("hi").alias("mhi"), F.count("*").alias("kinds")).filter((F.col("mlo") != F.col("mhi")) & (F.col("kinds") > 1)))
-    n_kinds = kinds.count()
-    edges = left_lookup(kinds, minima, ["m"], "kinds", n_kinds).filter(F.col("mlo").isNotNull())
-    parts = edges.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "n", "m", "g", "lo", "hi")).alias("parts"))
-    windows = cut(_window_hashes(rows.dropDuplicates(["doc_id"]).join(parts, "doc_id").select("text", "parts"), span))
-    twice = cut(windows.groupBy("h").agg(F.min("lo").alias("hlo"), F.max("hi").alias("hhi"), F.count("*").alias("times")).filter(F.col("hlo") != F.col("hhi")))
-    repeated = left_lookup(windows.filter(F.col("lo") == F.col("hi")), twice, ["h"], "times", windows.count()).filter(F.col("hlo").isNotNull())
-    island = F.col("off") - F.row_number().over(Window.partitionBy("m", "g").orderBy("off"))
-    runs = repeated.select("m", "g", "off").withColumn("island", island).groupBy("m", "g", "island").agg(F.min("off").alias("a"), F.max("off").alias("b"))
-    whole = kinds.filter(F.col("lo") != F.col("hi"))
-    partly = runs.groupBy("m", "g").agg(F.collect_list(F.struct("a", "b")).alias("runs")).join(kinds.select("m", "g", "rows"), ["m", "g"])
-    found = cut(whole.select("m", "g", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("runs"), "rows").unionByName(partly))
-    hits = left_lookup(segs, found, ["m", "g"], "rows", segs.count()).filter(F.col("runs").isNotNull())
+    every = cut_table(segments(rows, span, seed, block))
+    minima = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter(F.col("lo") != F.col("hi"))
+    minima = cut_table(minima.select("m", "rows"))
+    segs = cut_table(checked_join(every, minima, ["m"], "left_semi", "rows", every.count()))
+    kinds = cut_table(segs.groupBy("m", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("start", "doc_id").alias("start"), F.max("n").alias("n"), F.count("*").alias("rows")))
+    several = cut_table(kinds.groupBy("m").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > 1))
+    edges = checked_join(kinds, several, ["m"], "left_semi", "kinds", kinds.count())
+    parts = edges.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "g", "lo", "hi")).alias("parts"), F.count("*").alias("rows"))
+    parts = cut_table(parts)
+    some = checked_join(rows, parts.select("doc_id", "rows"), ["doc_id"], "left_semi", "rows", parts.count())
+    windows = cut_table(_window_hashes(some.join(parts.drop("rows"), "doc_id").select("text", "parts"), span))
+    twice = windows.groupBy("h").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("times")).filter(F.col("a") != F.col("b"))
+    twice = cut_table(twice.select("h", "times"))
+    repeated = checked_join(windows.filter(F.col("lo") == F.col("hi")).select("h", "g", "off"), twice, ["h"], "left_semi", "times", windows.count())
+    island = F.col("off") - F.dense_rank().over(Window.partitionBy("g").orderBy("off"))
+    runs = repeated.withColumn("island", island).groupBy("g", "island").agg(F.min("off").alias("a"), F.max("off").alias("b"))
+    partly = runs.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    whole = kinds.filter(F.col("lo") != F.col("hi")).select("g", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("runs"), "rows")
+    found = cut_table(whole.unionByName(partly.join(kinds.select("g", "rows"), "g")).select("g", "runs", "rows"))
+    hits = checked_join(segs, found, ["g"], "inner", "rows", segs.count())
     return hits.select("doc_id", "start", F.explode("runs").alias("run")).select("doc_id", (F.col("start") + F.col("run.a")).alias("start"), (F.col("start") + F.col("run.b") + span).alias("stop"))
 
 
