@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import cut_table, table
 from .canonical import map_to_canonical
 from .leakage import leaked_passages, leaks
+from .linkage import link_samples, samples_of, sheets_of
 from .names import link_names, name_pairs
 from .packing import fill_containers
 from .shared_spans import shared_share
@@ -61,6 +62,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    zones = table(spark, d, "state_zones")
+    names = zones.select(F.explode(F.array(F.lower("state_norm"), F.lower("state_abbrev"))).alias("state_key"), "state_norm", "zone_name").distinct()
+    counties = table(spark, d, "usda_county_ranges").filter(F.trim("county_norm") != "").select("county_norm")
+    sheets = sheets_of(table(spark, d, "vouchers"), names)
+    sheets = cut_table(sheets)
+    return link_samples(samples_of(table(spark, d, "genomic_samples"), names), sheets, counties, table(spark, d, "taxon_synonyms")), sheets
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    links, sheets = _links(spark, d)
+    return links.join(sheets.select("gathering", "catalogNumber").distinct(), "gathering").select(F.col("sample").alias("genetic_sample_id"), F.col("catalogNumber").alias("catalog_number")).distinct()
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d)[0].select(F.col("sample").alias("genetic_sample_id"), "gathering", "rule", F.round("confidence", 6).alias("confidence"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -78,5 +97,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, length="n_chars").select("doc_id", "shared_tenths")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found}
 SQL = {"p2_found": P2_FOUND_SQL}
