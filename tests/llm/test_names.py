@@ -1,0 +1,52 @@
+import pytest
+
+from sheetmill.llm.names import link_names, name_pairs, parse_name
+
+GROUPS = [
+    ["F. H. Tompuenko", "Florence Tompuenko", "Tompuenko, F. H.", "F.H.Tompuenko", "Dr. F. Tompuenko", "F. H. TOMPUENKO", "Flo Tompuenko", "F. H. Tompusenko", "Tomuenko, F. H.", "F. H. Tompuenko & H. Baecem", "Florence Tompuenko; Ann Other"],
+    ["W. G. Tompuenko", "Bill Tompuenko"],
+    ["Tathklönford, Martha G.", "M. G. Tathklonford", "coll. M. G. Tathklonford", "Tathklonford M.G."],
+    ["Bihilk Flora Committee", "BFC (Bihilk)", "The Bihilk Flora Committee", "BIHILK FLORA COMMITTEE", "Bihlik Flora Comm."],
+    ["Vonol Plant Atlas Project"],
+    ["S. E. Nomtin", "Susannah Nomtin"],
+    ["S. K. Nomtin", "Samuel Nomtin"],
+    ["E  Nutolt", "E. W. Nutolt"],
+]
+NOBODY = ["unknown", "Anonymous", "s.n.", "N/A", "", "  ", "?", "[illegible]", None]
+
+
+def test_groups_are_found(spark):
+    names = [(n, 3) for g in GROUPS for n in g] + [(n, 9) for n in NOBODY] + [("F. H. Tompuenko", 2)]
+    linked = link_names(spark.createDataFrame(names, "name string, n long"))
+    by = {}
+    for name, entity in linked.collect():
+        by.setdefault(entity, []).append(name)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, GROUPS))
+    pairs = {tuple(r) for r in name_pairs(linked).collect()}
+    assert pairs == {(a, b) for g in GROUPS for a in g for b in g if a < b}
+
+
+def test_richer_profiles_rematch(spark):
+    # the two misspellings are two letters apart and meet only through the profile that has absorbed the first
+    names = [("P. W. Tarthoenko", 5), ("Patricia Tartheonko", 1), ("P. W. Tarthonko", 1), ("Trish Tarthonk", 1)]
+    assert link_names(spark.createDataFrame(names, "name string, n long")).select("entity").distinct().count() == 1
+
+
+def test_empty_and_long(spark):
+    assert link_names(spark.createDataFrame([], "name string, n long")).count() == 0
+    odd = [("x" * 5000, 1), ("1234", 1), ("A.", 1), (", ,", 1), ("é", 1), ("A & B & C" * 50, 1)]
+    assert link_names(spark.createDataFrame(odd, "name string, n long")).count() <= len(odd)
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("Triardric, Chuck", ("p", "triardric", ["c"], [], ["charles", "chuck"])),
+        ("Yvo. Vasaux", ("p", "vasaux", ["y"], [], ["yvo"])),
+        ("GNAP (Graekou)", ("o", "graekou", ["gnap"], [], [])),
+        ("Graekou Nat. Areas Prog.", ("o", "graekou", ["gnap"], [], [])),
+        ("no. ", None),
+    ],
+)
+def test_parse(value, want):
+    assert want is None or parse_name(value) == want
