@@ -52,8 +52,12 @@ def sheets_of(vouchers: DataFrame, zones: DataFrame) -> DataFrame:
     """
     key = gathering_key(F.col("exsiccatae_key"))
     parts = r"^([^_]+)_(.*)_(\d{4}-\d{2}-\d{2})$"
-    rows = vouchers.filter(F.col("catalogNumber").isNotNull()).withColumn("key", F.when(key.rlike(parts), key))
-    rows = rows.withColumn("state_key", F.lower(F.trim("stateProvince"))).join(zones, "state_key", "left")
+    rows = vouchers.filter(F.col("catalogNumber").isNotNull()).select(
+        "catalogNumber", "recordedBy", "recordNumber", "eventDate", "year", "month", "day", "decimalLatitude", "decimalLongitude", "county", "species_raw",
+        F.lower(F.trim("stateProvince")).alias("state_key"), key.alias("key"),
+    )
+    # written once: the key's patterns are matched once a row, not once for each column made of it
+    rows = cut_table(rows.join(zones, "state_key", "left")).withColumn("key", F.when(F.col("key").rlike(parts), F.col("key")))
     keyed, bare = rows.filter(F.col("key").isNotNull()), rows.filter(F.col("key").isNull())
     number = F.regexp_extract("key", parts, 2)
     keyed = keyed.select(
