@@ -52,8 +52,8 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 def modal_value(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """The most frequent value of each group, the smallest of equals, and how often it occurs."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    top = counts.groupBy(*by).agg(F.max("n").alias("n_mode"))
-    return counts.join(top, by).filter("n = n_mode").groupBy(*by).agg(F.min(value).alias(f"modal_{value}"), F.max("n_mode").alias("n_mode"))
+    first = F.min_by(value, F.struct((-F.col("n")).alias("n"), F.col(value)))
+    return counts.groupBy(*by).agg(first.alias(f"modal_{value}"), F.max("n").alias("n_mode"))
 
 
 def inverse_frequency_weights(rows: DataFrame, label: str, out: str = "weight") -> DataFrame:
