@@ -160,7 +160,7 @@ def q_decide(spark: SparkSession, d: str) -> DataFrame:
 
 def q_consensus_score(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "extracted_leaves")
-    return R.score_consensus(e, {"shape": ("solidity", 0.5), "round": ("circularity", 0.3), "petiole": ("petiole_length_mm", 0.2)}).select("leaf_row_id", F.round("conflict", 6).alias("conflict"))
+    return R.score_consensus(e, {"shape": ("solidity", 0.5), "round": ("circularity", 0.3), "petiole": ("petiole_length_mm", 0.2)}).select("leaf_row_id", F.round("conflict", 8).alias("conflict"))
 
 
 QUERIES = {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
@@ -199,5 +199,5 @@ SQL = {
     "decide": """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' THEN 'urgent_open' WHEN o_totalprice > 300000 THEN 'large' WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'old' ELSE 'default' END AS rule,
  CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' THEN 3 WHEN o_totalprice > 300000 THEN 2 WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 1 ELSE 0 END AS level,
  CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' THEN 'c' || o_custkey WHEN o_totalprice > 300000 THEN '' WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'old' ELSE '' END AS note FROM orders""",
-    "consensus_score": "SELECT leaf_row_id, round(coalesce((coalesce(solidity * 0.5::double, 0) + coalesce(circularity * 0.3::double, 0) + coalesce(petiole_length_mm * 0.2::double, 0)) / nullif((solidity IS NOT NULL)::int * 0.5::double + (circularity IS NOT NULL)::int * 0.3::double + (petiole_length_mm IS NOT NULL)::int * 0.2::double, 0), 0), 6) AS conflict FROM extracted_leaves",
+    "consensus_score": "SELECT leaf_row_id, round(coalesce((coalesce(solidity * 0.5::double, 0) + coalesce(circularity * 0.3::double, 0) + coalesce(petiole_length_mm * 0.2::double, 0)) / nullif((solidity IS NOT NULL)::int * 0.5::double + (circularity IS NOT NULL)::int * 0.3::double + (petiole_length_mm IS NOT NULL)::int * 0.2::double, 0), 0), 8) AS conflict FROM extracted_leaves",
 }
