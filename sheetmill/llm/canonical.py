@@ -193,6 +193,8 @@ def map_to_canonical(values: DataFrame, value: str, reference: DataFrame, entry:
     spark: SparkSession = values.sparkSession
     reader = READERS[kind]
     distinct = values.filter(F.trim(value) != "").select(F.col(value).alias("value")).distinct()
+    # looking words up costs far more than their bytes suggest: spread them over all cores
+    distinct = distinct.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     listed = reference.filter((F.trim(entry) != "") & F.col(canonical).isNotNull()).groupBy(F.col(entry).alias("entry"), F.col(canonical).alias("meant")).agg(F.count("*").alias("n"))
     parts = None
     held: list[tuple[str, str, int]] = []
