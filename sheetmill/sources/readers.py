@@ -43,7 +43,7 @@ def read_headed_table(spark: SparkSession, path: str, headings: dict[str, str] =
                         body = pd.read_csv(io.StringIO("\n".join(lines[i:])), sep=_delimiter(line), dtype=str, keep_default_na=False, header=0, names=[f or f"__{j}" for j, f in enumerate(found)], index_col=False)
                         out = body[[f for f in found if f]].copy()
                         out["file"] = file
-                        yield out.reindex(columns=["file", *names])
+                        yield out.reindex(columns=["file", *names]).astype(object)
                         break
 
     raw = whole_texts(spark, path).mapInPandas(parse, ", ".join(f"`{n}` string" for n in ["file", *names]))
