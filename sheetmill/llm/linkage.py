@@ -170,21 +170,20 @@ def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, tax
         exact(6, ["surname", "number"], right=known.filter("date IS NULL")),
         exact(7, ["stem", "number", "date"], stems(s.select("sample", "surname", "number", "date")), stems(known)),
     ]
-    weak = cut_table(agreement(reduce(DataFrame.unionByName, weak), samples, places, counties, taxa).filter(F.col("score") >= LEAST_AGREEMENT))
-    best = Window.partitionBy("sample").orderBy(F.desc("score"), F.asc("gathering"))
-    # rule 2 needs no agreement; several gatherings of one surname, number and date are told apart by it
     strong = cut_table(exact(2, ["surname", "number", "date"]))
-    many = strong.groupBy("sample").agg(F.count("*").alias("k"))
-    alike = agreement(strong.join(many.filter("k > 1"), "sample", "left_semi"), samples, places, counties, taxa)
-    strong = strong.join(many.filter("k = 1"), "sample", "left_semi").withColumn("score", F.lit(0.0)).unionByName(alike)
-    passes = [labels.select("sample", "gathering", F.lit(1).alias("rule"))]
-    for part in [strong, *[weak.filter(F.col("rule") == r) for r in (3, 4, 5, 6, 7)]]:
-        passes.append(part.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("sample", "gathering", "rule"))
-    precision = cut_table(_precision(reduce(DataFrame.unionByName, passes[1:]), passes[0]))
-    resolved = None
-    for part in passes:
-        fresh = part if resolved is None else part.join(resolved.select("sample"), "sample", "left_anti")
-        resolved = cut_table(fresh if resolved is None else resolved.unionByName(fresh))
+    # rule 2 needs no agreement; several gatherings of one surname, number and date are told apart by it
+    several = strong.groupBy("sample").agg(F.count("*").alias("k")).filter("k > 1").select("sample")
+    open_pairs = reduce(DataFrame.unionByName, weak).unionByName(strong.join(several, "sample", "left_semi"))
+    judged = cut_table(agreement(open_pairs, samples, places, counties, taxa).filter((F.col("score") >= LEAST_AGREEMENT) | (F.col("rule") == 2)))
+    judged = judged.unionByName(strong.join(several, "sample", "left_anti").withColumn("score", F.lit(0.0)))
+    best = Window.partitionBy("rule", "sample").orderBy(F.desc("score"), F.asc("gathering"))
+    picked = judged.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("sample", "gathering", "rule")
+    found = cut_table(labels.select("sample", "gathering", F.lit(1).alias("rule")).unionByName(picked))
+    passes = [found.filter(F.col("rule") == r) for r in range(1, 8)]
+    precision = cut_table(_precision(found.filter("rule > 1"), passes[0]))
+    # each pass takes what no pass before it has resolved
+    fresh = [p.join(reduce(DataFrame.unionByName, [q.select("sample") for q in passes[:i]]), "sample", "left_anti") if i else p for i, p in enumerate(passes)]
+    resolved = cut_table(reduce(DataFrame.unionByName, fresh))
     pairs = samples.filter(F.trim("pair") != "").select("sample", "pair").distinct()
     partner = pairs.join(resolved, "sample").groupBy("pair").agg(F.min(F.struct("rule", "gathering")).alias("b"))
     rest = pairs.join(resolved.select("sample"), "sample", "left_anti").join(partner, "pair").groupBy("sample").agg(F.min("b.gathering").alias("gathering"))

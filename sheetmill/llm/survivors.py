@@ -24,16 +24,13 @@ def tier_rank(tier: Column) -> Column:
 def gathering_key(key: Column) -> Column:
     """collector_number_date in one spelling: trimmed lower case without accents, '_' between the parts, date
     as YYYY-MM-DD, number without leading zeros, '#' or 'no.'. Null for a blank key."""
-    text = F.lower(F.trim(key))
-    text = F.regexp_replace(text, r"[|;]", "_")
-    text = F.regexp_replace(text, r"\s*_\s*", "_")
+    text = F.regexp_replace(F.lower(F.trim(key)), r"\s*[|;_]\s*", "_")
     text = F.translate(text, "áàâäãåéèêëíìîïóòôöõøúùûüñçý", "aaaaaaeeeeiiiioooooouuuuncy")
-    date = F.regexp_extract(text, r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 0)
-    parts = [F.regexp_extract(text, r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", i) for i in (1, 2, 3)]
-    iso = F.concat(parts[0], F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[2], 2, "0"))
-    head = F.substring(text, F.lit(1), F.length(text) - F.length(date))
-    head = F.regexp_replace(head, r"_(?:#|no\.? ?|nr\.? ?)?0*(\d+[a-z]?)_$", "_$1_")
-    return F.when(~blank(key), F.when(date != "", F.concat(head, iso)).otherwise(text))
+    # one pattern after the other, each run once a row: pad the date's parts, take padding that was too much off again
+    text = F.regexp_replace(text, r"_(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "_$1-0$2-0$3")
+    text = F.regexp_replace(text, r"_(\d{4})-0?(\d{2})-0?(\d{2})$", "_$1-$2-$3")
+    text = F.regexp_replace(text, r"_(?:#|no\.? ?|nr\.? ?)?0*(\d+[a-z]?)_(?=\d{4}-)", "_$1_")
+    return F.nullif(text, F.lit(""))
 
 
 def surviving_records(
