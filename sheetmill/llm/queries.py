@@ -98,4 +98,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found}
-SQL = {"p2_found": P2_FOUND_SQL}
+_GRAMS = """SELECT DISTINCT {i}, unnest(list_transform(range(1, len(w) - 18), lambda k: array_to_string(w[k:k + 19], ' '))) AS gram
+  FROM (SELECT {i}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {t})"""
+P9_FOUND_SQL = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(i='doc_id', t='documents')}) JOIN ({_GRAMS.format(i='item_id', t='eval_items')}) USING (gram)"
+P10_FOUND_SQL = """
+WITH w AS (SELECT doc_id, n_chars, unnest(list_transform(range(1, length(text) - 198), lambda i: {'i': i, 'h': hash(substr(text, i, 200))})) AS s FROM documents WHERE length(text) >= 200),
+k AS (SELECT s.h AS h FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, n_chars, s.i AS i, lead(s.i) OVER (PARTITION BY doc_id ORDER BY s.i) AS nx FROM w WHERE s.h IN (SELECT h FROM k))
+SELECT doc_id, least(10, floor(10 * sum(least(200, coalesce(nx - i, 200))) / n_chars))::int AS shared_tenths FROM m GROUP BY doc_id, n_chars
+"""
+SQL = {"p2_found": P2_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL}
