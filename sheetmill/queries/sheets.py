@@ -105,7 +105,12 @@ QUERIES = {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
 _LOC = "(SELECT * FROM vouchers WHERE decimalLatitude BETWEEN -90 AND 90 AND decimalLongitude BETWEEN -180 AND 180)"
 _CORNER = "(SELECT DISTINCT state_norm AS state, county_norm AS county, round(y, 5) AS y, round(x, 5) AS x FROM (SELECT state_norm, county_norm, unnest(ring_lat) AS y, unnest(ring_lon) AS x FROM county_outlines))"
 _ADJ = f"(SELECT DISTINCT a.state, a.county, b.state AS other_state, b.county AS other_county FROM {_CORNER} a JOIN {_CORNER} b ON a.y = b.y AND a.x = b.x AND NOT (a.state = b.state AND a.county = b.county))"
+_COUNTY = r"""CASE WHEN k IN ('unknown','unplaced','indeterminate') THEN '' ELSE k END"""
+_COUNTY_FROM = r"""(SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(CASE WHEN county IS NULL OR lower(trim(county)) IN ('','na','nan','null','none') THEN '' ELSE county END)), '[\[\]\(\)]', '', 'g')), '^(county\s+of|parish\s+of|city\s+of)\s+', ''),
+ '\s+(county|parish|par\.?|borough|census\s+area|municipality|co\.?)$', ''), '\s+city$', ''), '^(st\.|saint)\s+', 'st '), '[^a-z0-9]+', ' ', 'g')) AS k FROM vouchers WHERE decimalLatitude BETWEEN -90 AND 90 AND decimalLongitude BETWEEN -180 AND 180)"""
 SQL = {
+    "coordinate_hygiene": f"""SELECT CASE WHEN decimalLatitude = 0 AND decimalLongitude = 0 THEN 'zero' WHEN n >= 5 AND c >= 4 THEN 'shared_spot' WHEN abs(decimalLatitude * 10 - round(decimalLatitude * 10)) < 1e-6 AND abs(decimalLongitude * 10 - round(decimalLongitude * 10)) < 1e-6 THEN 'coarse_grid' ELSE 'ok' END AS reason, count(*) AS n
+ FROM {_COUNTY_FROM} JOIN (SELECT decimalLatitude, decimalLongitude, count(*) AS n, count(DISTINCT {_COUNTY}) AS c FROM {_COUNTY_FROM} GROUP BY 1, 2) USING (decimalLatitude, decimalLongitude) GROUP BY 1""",
     "near_centroid": f"""SELECT voucher_id, fips_code, round(m, 3) AS metres FROM (SELECT voucher_id, fips_code, 2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians(cy - decimalLatitude) / 2), 2) + cos(radians(decimalLatitude)) * cos(radians(cy)) * pow(sin(radians(cx - decimalLongitude) / 2), 2)))) AS m
  FROM {_LOC} v, (SELECT fips_code, list_avg(ring_lat) AS cy, list_avg(ring_lon) AS cx FROM county_outlines) c WHERE (coordinateUncertainty IS NULL OR coordinateUncertainty >= 2000) AND abs(cy - decimalLatitude) < 0.01) WHERE m <= 750 QUALIFY row_number() OVER (PARTITION BY voucher_id ORDER BY m, fips_code) = 1""",
     "adjacent_counties": f"SELECT * FROM {_ADJ}",

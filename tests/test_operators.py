@@ -183,3 +183,25 @@ def test_rules_and_gates(spark, rows):
 def test_round_robin(spark, most, want):
     df = spark.createDataFrame([(1, "g", "a"), (2, "g", "a"), (3, "g", "b"), (4, "g", "a")], "i int, g string, b string")
     assert [r["i"] for r in T.round_robin(df, "g", ["b"], [F.asc("i")], most).orderBy("place").collect()] == want
+
+
+def test_density_weights_and_variogram(spark):
+    pts = [(i, "t", 40.0 + 0.1 * (i % 3), -110.0) for i in range(6)] + [(9, "t", 45.0, -100.0)]
+    df = spark.createDataFrame(pts, "i int, g string, lat double, lon double")
+
+    def metres(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        x = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(x))
+
+    pairs = [(a[0], b[0], metres(a, b)) for a in pts for b in pts if a[0] < b[0]]
+    near = spark.createDataFrame(pairs, "a int, b int, metres double")
+    got = {r["i"]: r["weight"] for r in T.density_weights(df, near, "i", "g").collect()}
+    d = {(a, b): m / 1000 for a, b, m in pairs} | {(b, a): m / 1000 for a, b, m in pairs}
+    w = [1 / math.sqrt(1 + sum(math.exp(-d[p[0], q[0]] ** 2 / 1250) + 0.35 * math.exp(-d[p[0], q[0]] ** 2 / 11250) for q in pts if q[0] != p[0])) for p in pts]
+    for _ in range(4):
+        mean = sum(w) / len(w)
+        w = [min(3.0, max(0.2, x / mean)) for x in w]
+    assert all(abs(got[p[0]] - x) < 1e-5 for p, x in zip(pts, w, strict=True))
+    lags = M.variogram(near.withColumns({"u": F.col("a").cast("double"), "v": F.col("b").cast("double")}), "metres", "u", "v", 50_000).orderBy("lag").collect()
+    assert lags[0]["lag"] == 0 and sum(r["n"] for r in lags) == len(pairs)
