@@ -63,7 +63,8 @@ def robust_outliers(rows: DataFrame, group: str, key: str, vector: str, p: float
         return pd.DataFrame({"k": pdf["k"], "d2": d2, "outlier": (d2 > limit).astype("int32")})
 
     out = cut.groupBy("g", "part").applyInPandas(fit, f"k {kind}, d2 double, outlier int")
-    return out.select(F.col("k").alias(key), F.when(~F.isnan("d2"), F.col("d2")).alias("d2"), F.when(~F.isnan("d2"), F.col("outlier")).alias("outlier"))
+    known = F.col("d2").isNotNull() & ~F.isnan("d2")
+    return out.select(F.col("k").alias(key), F.when(known, F.col("d2")).alias("d2"), F.when(known, F.col("outlier")).alias("outlier"))
 
 
 def core_centre(rows: DataFrame, group: str, vector: str, share: float = 0.6) -> DataFrame:
