@@ -44,55 +44,53 @@ def surname_key(values: pd.Series) -> pd.Series:
     return values.map(lambda v: read[v][1] if isinstance(v, str) and read[v] else None)
 
 
-def sheets_of(vouchers: DataFrame, zones: DataFrame) -> DataFrame:
-    """catalogNumber, catalog, gathering, surname, number, date, lat, lon, county, state, taxon of each sheet.
-
-    The gathering is the normalised exsiccatae_key; a sheet without one is a gathering of its own, whose collector,
-    number and local date come from its own fields.
+def read_sources(vouchers: DataFrame, samples: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sheets, samples) as link_samples takes them.
+
+    Sheets: catalogNumber, catalog, gathering, surname, number, date, lat, lon, county, state, taxon. The gathering is
+    the normalised exsiccatae_key; a sheet without one is a gathering of its own, whose collector, number and local
+    date come from its own fields. Samples: sample, catalog, pair, surname, number, date, the surname start and number
+    within the id (id_surname, id_number), lat, lon, county, state, taxon of each distinct delivery. ``zones``:
+    state_key, state_norm, zone_name. Free fields of both sources are read in one pass.
     """
-    key = gathering_key(F.col("exsiccatae_key"))
     parts = r"^([^_]+)_(.*)_(\d{4}-\d{2}-\d{2})$"
-    rows = vouchers.filter(F.col("catalogNumber").isNotNull()).select(
-        "catalogNumber", "recordedBy", "recordNumber", "eventDate", "year", "month", "day", "decimalLatitude", "decimalLongitude", "county", "species_raw",
-        F.lower(F.trim("stateProvince")).alias("state_key"), key.alias("key"),
+    state_key = lambda c: F.lower(F.trim(c)).alias("state_key")
+    lat, lon = F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon")
+    v = vouchers.filter(F.col("catalogNumber").isNotNull()).select(
+        F.lit("sheet").alias("side"), F.col("catalogNumber").alias("id"), "catalogNumber", F.lit(None).cast("string").alias("pair"), F.col("recordedBy").alias("person"), F.col("recordNumber").alias("written"),
+        "eventDate", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), F.col("day").cast("int").alias("day"), lat, lon, "county", F.col("species_raw").alias("taxon"),
+        state_key("stateProvince"), gathering_key(F.col("exsiccatae_key")).alias("key"),
+    )
+    nothing = lambda t, name: F.lit(None).cast(t).alias(name)
+    s = samples.filter(F.col("genetic_sample_id").isNotNull()).select(
+        F.lit("sample").alias("side"), F.col("genetic_sample_id").alias("id"), "catalogNumber", F.col("replicate_pair_id").alias("pair"), F.col("collector").alias("person"), F.col("collector_number").alias("written"),
+        "eventDate", nothing("int", "year"), nothing("int", "month"), nothing("int", "day"), lat, lon, "county", F.col("taxon_raw").alias("taxon"), state_key("stateProvince"), nothing("string", "key"),
     )
     # written once: the key's patterns are matched once a row, not once for each column made of it
-    rows = cut_table(rows.join(zones, "state_key", "left")).withColumn("key", F.when(F.col("key").rlike(parts), F.col("key")))
-    keyed, bare = rows.filter(F.col("key").isNotNull()), rows.filter(F.col("key").isNull())
+    both = cut_table(v.unionByName(s).join(zones, "state_key", "left")).withColumn("key", F.when(F.col("key").rlike(parts), F.col("key")))
     number = F.regexp_extract("key", parts, 2)
-    keyed = keyed.select(
-        "*", F.regexp_extract("key", parts, 1).alias("surname"), F.when(number.rlike("^[0-9]+[a-z]?$"), number).alias("number"), F.regexp_extract("key", parts, 3).alias("date"),
-        F.col("key").alias("gathering"),
+    place = ["lat", "lon", "county", F.coalesce("state_norm", "state_key").alias("state"), "taxon"]
+    keyed = both.filter(F.col("key").isNotNull()).select(
+        F.col("id").alias("catalogNumber"), catalog_key(F.col("catalogNumber")).alias("catalog"), F.col("key").alias("gathering"), F.regexp_extract("key", parts, 1).alias("surname"),
+        F.when(number.rlike("^[0-9]+[a-z]?$"), number).alias("number"), F.regexp_extract("key", parts, 3).alias("date"), *place,
     )
-    bare = normalise_timestamps(bare, "eventDate", "zone_name", "year", "month", "day", "event_norm")
+    free = normalise_timestamps(both.filter(F.col("key").isNull()), "eventDate", "zone_name", "year", "month", "day", "event_norm")
     moment = F.col("event_norm").substr(1, 19).try_cast("timestamp_ntz")
     local = F.when(F.length("event_norm") == 20, F.convert_timezone(F.lit("UTC"), F.coalesce("zone_name", F.lit("UTC")), moment))
-    given = F.format_string("%04d-%02d-%02d", F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int"))
-    date = F.when(F.col("year").isNotNull() & F.col("month").isNotNull() & F.col("day").isNotNull(), given).when(local.isNotNull(), F.date_format(local, "yyyy-MM-dd")).when(F.length("event_norm") == 10, F.col("event_norm"))
-    bare = bare.select("*", surname_key("recordedBy").alias("surname"), number_key(F.col("recordNumber")).alias("number"), date.alias("date"), F.concat(F.lit("sheet "), "catalogNumber").alias("gathering"))
-    lat, lon = F.col("decimalLatitude"), F.col("decimalLongitude")
-    ok = ~((lat == 0) & (lon == 0))
-    columns = [
-        "catalogNumber", catalog_key(F.col("catalogNumber")).alias("catalog"), "gathering", "surname", "number", "date", F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"),
-        F.col("county").alias("county"), F.coalesce("state_norm", "state_key").alias("state"), F.col("species_raw").alias("taxon"),
-    ]
-    return keyed.select(*columns).unionByName(bare.select(*columns))
-
-
-def samples_of(samples: DataFrame, zones: DataFrame) -> DataFrame:
-    """sample, catalog, pair, surname, number, date, and the surname start and number within the id (id_surname,
-    id_number), lat, lon, county, state, taxon of each distinct delivery of a sample."""
-    rows = samples.filter(F.col("genetic_sample_id").isNotNull()).withColumn("state_key", F.lower(F.trim("stateProvince"))).join(zones, "state_key", "left")
-    nothing = F.lit(None).cast("int")
-    rows = normalise_timestamps(rows.withColumns({"__y": nothing, "__m": nothing, "__d": nothing}), "eventDate", "zone_name", "__y", "__m", "__d", "event_norm")
+    given = F.when(F.col("year").isNotNull() & F.col("month").isNotNull() & F.col("day").isNotNull(), F.format_string("%04d-%02d-%02d", "year", "month", "day"))
+    date = F.coalesce(given, F.date_format(local, "yyyy-MM-dd"), F.when(F.length("event_norm") == 10, F.col("event_norm")))
+    free = cut_table(free.select("side", "id", "pair", catalog_key(F.col("catalogNumber")).alias("catalog"), surname_key("person").alias("surname"), number_key(F.col("written")).alias("number"), date.alias("date"), *place))
+    shared = ["catalog", "surname", "number", "date", "lat", "lon", "county", "state", "taxon"]
+    bare = free.filter("side = 'sheet'").select(F.col("id").alias("catalogNumber"), F.concat(F.lit("sheet "), "id").alias("gathering"), *shared)
     coded = r"^[A-Z]+-([A-Z]+?)([0-9]+[A-Z]?)-[0-9]+$"
-    sid = F.col("genetic_sample_id")
-    return rows.select(
-        sid.alias("sample"), catalog_key(F.col("catalogNumber")).alias("catalog"), F.col("replicate_pair_id").alias("pair"), surname_key("collector").alias("surname"), number_key(F.col("collector_number")).alias("number"),
-        F.when(F.length("event_norm") >= 10, F.col("event_norm").substr(1, 10)).alias("date"),
-        F.when(sid.rlike(coded), F.lower(F.regexp_extract(sid, coded, 1))).alias("id_surname"), F.when(sid.rlike(coded), F.regexp_replace(F.lower(F.regexp_extract(sid, coded, 2)), "^0+", "")).alias("id_number"),
-        F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon"), "county", F.coalesce("state_norm", "state_key").alias("state"), F.col("taxon_raw").alias("taxon"),
+    own = F.col("id").rlike(coded)
+    out = free.filter("side = 'sample'").select(
+        F.col("id").alias("sample"), "pair", F.when(own, F.lower(F.regexp_extract("id", coded, 1))).alias("id_surname"), F.when(own, F.regexp_replace(F.lower(F.regexp_extract("id", coded, 2)), "^0+", "")).alias("id_number"), *shared,
     ).distinct()
+    # a coordinate of zero twice is none
+    spot = lambda c: F.when(~((F.col("lat") == 0) & (F.col("lon") == 0)), F.col(c))
+    sheets = keyed.unionByName(bare)
+    return sheets.select(*[c for c in sheets.columns if c not in ("lat", "lon")], spot("lat").alias("lat"), spot("lon").alias("lon")), out
 
 
 def _one_digit_off(a: Column, b: Column) -> Column:
@@ -131,7 +129,7 @@ def agreement(pairs: DataFrame, samples: DataFrame, places: DataFrame, counties:
 
 def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, taxa: DataFrame) -> DataFrame:
     """sample, gathering, rule, confidence: the gathering each sample was taken from; ``samples`` and ``sheets`` as
-    samples_of and sheets_of give them.
+    read_sources gives them.
 
     Rules: 1 catalogue number; 2 surname, number and date; 3 surname start and number within the sample's id;
     4 surname and date with the number missing or one digit off; 5 number and date where the sheet names no collector;

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import cut_table, table
 from .canonical import map_to_canonical
 from .leakage import leaked_passages, leaks
-from .linkage import link_samples, samples_of, sheets_of
+from .linkage import link_samples, read_sources
 from .names import link_names, name_pairs
 from .packing import fill_containers
 from .shared_spans import shared_share
@@ -66,9 +66,9 @@ def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     zones = table(spark, d, "state_zones")
     names = zones.select(F.explode(F.array(F.lower("state_norm"), F.lower("state_abbrev"))).alias("state_key"), "state_norm", "zone_name").distinct()
     counties = table(spark, d, "usda_county_ranges").filter(F.trim("county_norm") != "").select("county_norm")
-    sheets = sheets_of(table(spark, d, "vouchers"), names)
+    sheets, samples = read_sources(table(spark, d, "vouchers"), table(spark, d, "genomic_samples"), names)
     sheets = cut_table(sheets)
-    return link_samples(samples_of(table(spark, d, "genomic_samples"), names), sheets, counties, table(spark, d, "taxon_synonyms")), sheets
+    return link_samples(samples, sheets, counties, table(spark, d, "taxon_synonyms")), sheets
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
