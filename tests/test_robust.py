@@ -15,6 +15,21 @@ def test_minimum_covariance_ignores_outliers(spark):
     assert all(got[i] == 1 for i in range(30)) and sum(got[i] for i in range(30, 200)) < 15 and got[900] is None and 901 not in got
 
 
+def test_group_larger_than_a_task_has_one_model(spark, monkeypatch):
+    monkeypatch.setattr(B, "PART_ROWS", 100)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(450, 2)) @ np.array([[2, 0.5], [0, 1]])
+    x[:60] += 40
+    rows = [(i, "g", v.tolist()) for i, v in enumerate(x)] + [(900, "g", [float("nan"), 0.0]), (901, "h", [0.0, 1.0])]
+    got = {r["i"]: r for r in B.robust_outliers(spark.createDataFrame(rows, "i long, g string, v array<double>"), "g", "i", "v").collect()}
+    assert len(got) == 452 and got[900]["d2"] is None and got[901]["outlier"] is None
+    d2 = np.array([got[i]["d2"] for i in range(450)])
+    terms = np.column_stack([np.ones(450), x, x * x, x[:, 0] * x[:, 1]])  # a single model's distance is one quadratic form
+    assert np.abs(terms @ np.linalg.lstsq(terms, d2, rcond=None)[0] - d2).max() < 1e-6
+    assert np.isclose(np.median(d2), B.chi2_quantile(0.5, 2))
+    assert (d2[:60] > 100).all() and sum(got[i]["outlier"] for i in range(60, 450)) < 30
+
+
 def test_core_centre(spark):
     rows = [("g", [0.0, 0.0]), ("g", [1.0, 0.0]), ("g", [0.0, 1.0]), ("g", [0.5, 0.5]), ("g", [99.0, 99.0])]
     centre = B.core_centre(spark.createDataFrame(rows, "g string, v array<double>"), "g", "v").first()["centre"]
