@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.circular import radians_of_day
+from ..session import cut_table
 from .components import connected_components
 
 
@@ -133,31 +134,96 @@ def planar_clusters(points: DataFrame, group: str, point: str, x: str, y: str, e
     return c.select(F.col("node.g").alias(group), F.col("node.p").alias(point), F.col("component.p").alias("cluster"))
 
 
-def complete_linkage_groups(points: DataFrame, block: str, point: str, lat: str, lon: str, km: float) -> DataFrame:
-    """point, deme: in order of the point, each joins the first group of its block all of whose members are within
-    ``km``, else opens one. Order is part of the rule; blocks are independent tasks."""
+#: Degrees of a tile in which one task groups points.
+TILE_DEGREES = 2.0
+
+
+def _in_tiles(state: DataFrame, reach: float, shift: tuple[float, float]) -> DataFrame:
+    """``state`` with its rows listed in every tile that an angle of ``reach`` touches; ``own`` in the one it lies in."""
+    lat, lon, deg = F.degrees("la"), F.degrees("lo"), math.degrees(reach) * (1 + 1e-9)
+    row = lambda v: F.floor((v + 90) / TILE_DEGREES + shift[0])
+    turn = lambda v: F.floor((v + 180) / TILE_DEGREES + shift[1])
+    n = F.lit(round(360 / TILE_DEGREES))
+    # the angle of longitude that the reach spans at most; close to a pole it is the whole circle
+    ratio = math.sin(reach) / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + deg, F.lit(90.0)))), F.lit(1e-12))
+    wide = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
+    columns = F.array_distinct(F.transform(F.sequence(turn(lon - wide), F.least(turn(lon + wide), turn(lon - wide) + n - 1)), lambda c: F.pmod(c, n)))
+    out = state.withColumn("ty", F.explode(F.sequence(row(lat - deg), row(lat + deg)))).withColumn("tx", F.explode(columns))
+    return out.withColumn("own", (F.col("ty") == row(lat)) & (F.col("tx") == F.pmod(turn(lon), n)))
+
+
+def complete_linkage_groups(points: DataFrame, block: str | None, point: str, lat: str, lon: str, km: float) -> DataFrame:
+    """point, deme: in order of the point, each joins the first group all of whose members are within ``km``, else
+    opens one named after it; groups never cross a ``block``, if one is given. Order is part of the rule.
+
+    Tiles are tasks but not borders: every tile sees the points within twice ``km`` around it, which is as far as a
+    group in reach can extend, and settles those of its points that no earlier open point can change. Tiles shift from
+    round to round until all are settled; the smallest open point can always be, so rounds end."""
     kind = points.schema[point].dataType.simpleString()
-    rows = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(block).isNotNull()).select(F.col(block).cast("string").alias("b"), F.col(point).alias("p"), F.radians(lat).alias("la"), F.radians(lon).alias("lo"))
+    b = F.col(block) if block else F.lit("")
+    state = points.filter((F.abs(lat) <= 90) & (F.abs(lon) <= 180) & b.isNotNull()).select(b.cast("string").alias("b"), F.col(point).alias("p"), F.radians(lat).alias("la"), F.radians(lon).alias("lo"), F.col(point).alias("deme"), F.lit(False).alias("done"))
+    reach = 2 * km / 6371.0 * (1 + 1e-9)
+    chord = 2 * math.sin(min(reach, math.pi) / 2) * (1 + 1e-9)
+    around = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        la, lo, ids = pdf["la"].to_numpy(), pdf["lo"].to_numpy(), pdf["p"].tolist()
-        groups: list[list[int]] = []
-        of: list[object] = []
-        for i in range(len(ids)):
-            for members in groups:
-                m = np.array(members)
-                a = np.sin((la[m] - la[i]) / 2) ** 2 + math.cos(la[i]) * np.cos(la[m]) * np.sin((lo[m] - lo[i]) / 2) ** 2
-                if (2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(a))) <= km).all():
-                    members.append(i)
-                    of.append(ids[members[0]])
-                    break
-            else:
-                groups.append([i])
-                of.append(ids[i])
-        return pd.DataFrame({"p": ids, "deme": of})
-
-    return rows.groupBy("b").applyInPandas(run, f"p {kind}, deme {kind}").withColumnRenamed("p", point)
+        keep = ["b", "p", "la", "lo", "deme", "done"]
+        if pdf.loc[pdf["own"], "done"].all():
+            return pdf.loc[pdf["own"], keep]
+        pdf = pdf.sort_values(["p", "la", "lo"])
+        la, lo = pdf["la"].to_numpy(), pdf["lo"].to_numpy()
+        cos = np.cos(la)
+        cells = np.floor(np.stack([cos * np.cos(lo), cos * np.sin(lo), np.sin(la)], axis=1) / chord).astype(int)
+        demes, done, own = pdf["deme"].tolist(), pdf["done"].tolist(), pdf["own"].tolist()
+        filed: dict[tuple[int, int, int], list[int]] = {}
+
+        def apart(i: int, m: list[int]) -> list[float]:
+            a = np.sin((la[m] - la[i]) / 2) ** 2 + cos[i] * cos[m] * np.sin((lo[m] - lo[i]) / 2) ** 2
+            return (2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(a)))).tolist()
+
+        for i, (cx, cy, cz) in enumerate(cells.tolist()):
+            if own[i] and not done[i]:
+                near = sorted(j for x, y, z in around for j in filed.get((cx + x, cy + y, cz + z), ()))
+                groups: dict[object, list[int]] = {}
+                out: set[object] = set()
+                waiting: list[tuple[int, float]] = []
+                for j, far in zip(near, apart(i, near) if near else (), strict=True):
+                    if far <= reach * 6371.0:
+                        if not done[j]:
+                            waiting.append((j, far))
+                            continue
+                        groups.setdefault(demes[j], []).append(j)
+                        if far > km:
+                            out.add(demes[j])
+                home = min((g for g in groups if g not in out), default=None)
+                if home is None:  # an open point in reach may yet open a group for this one
+                    wait = any(far <= km for _, far in waiting)
+                else:  # an open point may open an earlier group, or join this one and be too far
+                    has = groups[home]
+                    wait = any(j < has[0] if far <= km else j > has[0] and max(apart(j, [m for m in has if m < j])) <= km for j, far in waiting)
+                if not wait:
+                    demes[i], done[i] = demes[i] if home is None else home, True
+            filed.setdefault((cx, cy, cz), []).append(i)
+        return pdf.assign(deme=demes, done=done).loc[pdf["own"], keep]
+
+    shape = f"b string, p {kind}, la double, lo double, deme {kind}, done boolean"
+    turn = 0
+    while True:
+        shift = ((0.0, 0.0), (0.5, 0.5), (0.0, 0.5), (0.5, 0.0))[turn % 4]
+        state = cut_table(_in_tiles(state, reach, shift).groupBy("b", "ty", "tx").applyInPandas(run, shape))
+        if state.filter("NOT done").isEmpty():
+            return state.select(F.col("p").alias(point), "deme")
+        turn += 1
+
+
+def gathering_demes(points: DataFrame, point: str, lat: str, lon: str, km: float, key: Column) -> DataFrame:
+    """point, deme: complete-linkage groups, those that share a ``key`` united; the deme is its smallest point."""
+    groups = complete_linkage_groups(points, None, point, lat, lon, km)
+    keyed = groups.join(points.select(point, key.alias("key")).filter("key IS NOT NULL").distinct(), point)
+    first = keyed.groupBy("key").agg(F.min("deme").alias("first"))
+    edges = keyed.join(first, "key").select("deme", "first").unionByName(groups.select("deme", F.col("deme").alias("first")))
+    united = connected_components(edges.distinct(), "deme", "first")
+    return groups.join(united, groups["deme"] == united["node"]).select(point, F.col("component").alias("deme"))
 
 
 def silhouette(rows: DataFrame, vector: str, label: str, keep: str) -> DataFrame:

@@ -53,8 +53,9 @@ def q_planar_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def q_demes(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "vouchers").filter("coordinateUncertainty <= 1000 AND decimalLatitude BETWEEN 30 AND 50 AND decimalLongitude BETWEEN -125 AND -100")
-    v = v.withColumn("block", F.concat_ws("_", F.floor(F.col("decimalLatitude") * 2), F.floor(F.col("decimalLongitude") * 2)))
-    return N.complete_linkage_groups(v, "block", "voucher_id", "decimalLatitude", "decimalLongitude", 10.0)
+    exsiccata, sheet = F.trim("exsiccatae_key"), F.trim("catalogNumber")
+    key = F.when((exsiccata != "") & ~F.lower(exsiccata).isin("na", "none", "unknown"), F.concat(F.lit("EXS__"), exsiccata)).when(sheet != "", F.concat(F.lit("CAT__"), sheet))
+    return N.gathering_demes(v, "voucher_id", "decimalLatitude", "decimalLongitude", 10.0, key)
 
 
 def q_silhouette(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,27 @@ def test_planar_clusters_and_demes(spark):
     assert demes == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
 
 
+def test_demes_cross_tiles_and_share_keys(spark):
+    rng = random.Random(8)
+    pts = [(i, rng.uniform(39.7, 40.3), rng.uniform(-110.3, -109.7), None) for i in range(300)] + [(i, rng.uniform(-0.2, 0.2), rng.choice([-1, 1]) * rng.uniform(179.8, 180.0), None) for i in range(300, 400)]
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1, math.sqrt(h)))
+
+    groups = []
+    for p in pts:
+        home = next((g for g in groups if all(km(p, m) <= 10.0 for m in g)), None)
+        groups.append([p]) if home is None else home.append(p)
+    want = {m[0]: g[0][0] for g in groups for m in g}
+    df = spark.createDataFrame(pts, "p int, lat double, lon double, k string")
+    got = {r["p"]: r["deme"] for r in N.gathering_demes(df, "p", "lat", "lon", 10.0, F.col("k")).collect()}
+    assert got == want
+    far = [(1, 40.0, -110.0, "x"), (2, 40.0, -109.999, None), (3, 10.0, 20.0, "x"), (4, 10.0, 20.01, "y"), (5, -10.0, 20.0, "z")]
+    got = {r["p"]: r["deme"] for r in N.gathering_demes(spark.createDataFrame(far, df.schema), "p", "lat", "lon", 10.0, F.col("k")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
 def test_alignment():
     assert N.align("ACGT", "ACGT") == (4, 1.0)
     assert N.align("ACGT", "AGT")[1] == 0.75
