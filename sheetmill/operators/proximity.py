@@ -6,9 +6,9 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut, cut_table
 
 EARTH_M = 6_371_000.0
 #: A coverage of at most so many cells (about 40 bytes each) is broadcast; a larger one is joined by a shuffle.
@@ -84,6 +84,45 @@ def near_pairs(points: DataFrame, point_id: str, lat: str, lon: str, metres: flo
     return met.select(*out)
 
 
+def near_sites(points: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
+    """point, site, metres of each point (point, lat, lon) and other site (site, lat, lon) at most ``metres`` apart;
+    usable coordinates only. Cells as in near_pairs, one reach high."""
+    reach = metres / EARTH_M
+    height = math.degrees(reach) * (1 + 1e-9)
+    place = lambda df: df.withColumn("band", F.floor((F.col("lat") + 90) / height)).withColumn("turn", F.pmod((F.col("lon") + 180) / 360, F.lit(1.0)))
+    n = _columns_in(F.col("band"), height, reach)
+    home = place(sites).withColumn("col", F.pmod(F.floor(F.col("turn") * n), n).cast("int")).select("site", F.col("lat").alias("slat"), F.col("lon").alias("slon"), "band", "col")
+    edge = F.least(F.abs(F.col("lat")) + height, F.lit(90.0))
+    ratio = F.sin(F.lit(reach / 2)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    span = F.when(ratio >= 1, F.lit(0.5)).otherwise(F.asin(F.least(ratio, F.lit(1.0))) / math.pi * (1 + 1e-9))
+    listed = place(points).withColumn("span", span).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    first, last = F.floor((F.col("turn") - F.col("span")) * n), F.floor((F.col("turn") + F.col("span")) * n)
+    listed = listed.withColumn("col", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.pmod(c, n.cast("bigint")).cast("int")))))
+    met = listed.join(home, ["band", "col"]).filter(F.col("point") != F.col("site"))
+    return met.select("point", "site", haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")).alias("metres")).filter(F.col("metres") <= metres)
+
+
+def nearest_sites(points: DataFrame, sites: DataFrame, k: int, metres: float, rings: int = 4) -> DataFrame:
+    """point, site, metres: the ``k`` nearest other sites (then smallest ids) of each point within ``metres``.
+
+    Rings double up to the reach: a point with k sites within one is settled, so only sparse places search further.
+    Sites of one place are as far from any point: its k + 1 smallest ids stand for it, which is exact."""
+    spots = points.filter(usable_point(F.col("lat"), F.col("lon")) & F.col("point").isNotNull()).dropDuplicates(["point"])
+    at = Window.partitionBy("lat", "lon").orderBy("site")
+    sites = sites.filter(usable_point(F.col("lat"), F.col("lon")) & F.col("site").isNotNull()).dropDuplicates(["site"])
+    left, sites = cut_table(spots.select("point", "lat", "lon")), cut_table(sites.select("site", "lat", "lon", F.row_number().over(at).alias("rn")).filter(F.col("rn") <= k + 1).drop("rn"))
+    by = Window.partitionBy("point")
+    found = None
+    for ring in range(rings, -1, -1):
+        near = near_sites(left, sites, metres / 2**ring).withColumn("rn", F.row_number().over(by.orderBy("metres", "site"))).filter(F.col("rn") <= k)
+        if ring:
+            near = near.withColumn("n", F.count("*").over(by)).filter(F.col("n") == k)
+        near = cut_table(near.select("point", "site", "metres"))
+        found = near if found is None else found.unionByName(near)
+        left = left.join(near.select("point").distinct(), "point", "left_anti")
+    return found
+
+
 def _cover(ring_y: list[float], ring_x: list[float], depth: int) -> list[tuple[int, int, int, bool]]:
     """(level, iy, ix, inside) of quadtree cells of 2**-level degrees: those wholly inside the ring, as large as can
     be, and the smallest ones that its boundary runs through."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import circular as C, scalar as S
 from ..operators import aggregates as A, selection as T
 from ..operators.components import connected_components
-from ..operators.proximity import haversine_m, near_pairs
+from ..operators.proximity import haversine_m, near_pairs, nearest_sites
 from ..session import table
 
 
@@ -186,6 +186,15 @@ def q_idw(spark: SparkSession, d: str) -> DataFrame:
     return out.select("voucher_id", F.round("estimate", 4).alias("estimate"), "n_sites")
 
 
+def q_idw_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As idw, from the five nearest within 10 km, the reach of the reference; idw keeps the 2 km of its SQL."""
+    v = _sites(spark, d).select("voucher_id", F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon"), "coordinateUncertainty")
+    sites = v.withColumnRenamed("voucher_id", "site")
+    near = nearest_sites(v.withColumnRenamed("voucher_id", "point"), sites, 5, 10_000.0)
+    out = T.nearest_weighted(v, sites, "voucher_id", "coordinateUncertainty", near)
+    return out.select("voucher_id", F.round("estimate", 4).alias("estimate"), "n_sites")
+
+
 def q_grid_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Half-degree blocks dealt to five folds in order of their first sheet."""
     v = _sites(spark, d).select("voucher_id", F.floor(F.col("decimalLatitude") * 2).alias("by"), F.floor(F.col("decimalLongitude") * 2).alias("bx"))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from sheetmill.operators.proximity import containing_region, near_pairs
+from sheetmill.operators.proximity import containing_region, near_pairs, nearest_sites
 
 
 def _haversine(a, b):
@@ -49,3 +49,29 @@ def test_region_of_a_point(spark, rows):
             want[p] = hits[0]
     assert got == want
     assert rows(containing_region(df, "p", "lat", "lon", shapes.limit(0), "fips", "ys", "xs")) == []
+
+
+@pytest.mark.parametrize(("centre", "spread"), [((40.0, -110.0), 0.3), ((0.0, 179.95), 0.3), ((89.99, 0.0), 180.0)])
+def test_nearest_sites_against_brute_force(spark, rows, centre, spread):
+    rng = random.Random(4)
+    points = []
+    for i in range(120):
+        lat = max(-90.0, min(90.0, centre[0] + rng.choice([0.01, 0.3]) * rng.uniform(-1, 1)))
+        points.append((i, lat, (centre[1] + rng.uniform(-spread, spread) + 180) % 360 - 180))
+    points += [(500 + i, *points[0][1:]) for i in range(9)]
+    df = spark.createDataFrame([*points, (900, None, 1.0), (901, math.nan, 1.0)], "point long, lat double, lon double")
+    got = [r[:2] for r in rows(nearest_sites(df, df.withColumnRenamed("point", "site"), 5, 10_000.0))]
+    want = []
+    for p in points:
+        near = sorted((d, q[0]) for q in points if q[0] != p[0] and (d := _haversine(p[1:], q[1:])) <= 10_000.0)
+        want += [(p[0], s) for _, s in near[:5]]
+    assert len(want) > 300 and sorted(got) == sorted(want)
+
+
+def test_idw_whole_reaches_ten_kilometres(spark, tmp_path):
+    from sheetmill.queries.measures import QUERIES
+
+    sheets = [(1, 40.0, -110.0, 10.0), (2, 40.05, -110.0, 30.0), (3, 40.2, -110.0, 50.0)]
+    spark.createDataFrame(sheets, "voucher_id long, decimalLatitude double, decimalLongitude double, coordinateUncertainty double").write.parquet(f"{tmp_path}/vouchers.parquet")
+    got = {r["voucher_id"]: (r["estimate"], r["n_sites"]) for r in QUERIES["idw_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: (30.0, 1), 2: (10.0, 1)}
