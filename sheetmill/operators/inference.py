@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -310,6 +312,70 @@ def quartet_counts(cells: DataFrame, quartet: tuple[str, str, str, str]) -> Data
     return ok.groupBy(F.when(F.col("a") == F.col("b"), "ab|cd").when(F.col("a") == F.col("c"), "ac|bd").otherwise("ad|bc").alias("pattern")).agg(F.count("*").alias("n"))
 
 
+def quartet_concordance(cells: DataFrame, groups: DataFrame, most: int = 120, combinations: int = 16, least_loci: int = 8, seed: int = 202611) -> DataFrame:
+    """quartet, major_topology, cf_12_34, cf_13_24, cf_14_23, n_inform_loci, snaq_gamma_minor, g_test_p,
+    delta_aicc_reticulation: quartets of the groups of all samples (``groups``: sample, group), at most ``most`` of them
+    and ``combinations`` of samples in each, drawn by seed; combinations of fewer than ``least_loci`` loci called in all
+    four don't count. All site patterns are counted in one pass; what reaches the driver is the list of samples."""
+    of: dict[str, list] = {}
+    for g, names in groups.filter("sample IS NOT NULL AND group IS NOT NULL").groupBy(F.col("group").cast("string").alias("g")).agg(F.array_sort(F.collect_set("sample"))).collect():
+        of[g] = names
+    taxa, rng = sorted(of), random.Random(seed)
+    total = math.comb(len(taxa), 4)
+
+    def unranked(r: int) -> tuple[str, ...]:
+        out, at = [], 0
+        for k in (4, 3, 2, 1):
+            while (n := math.comb(len(taxa) - at - 1, k - 1)) <= r:
+                r, at = r - n, at + 1
+            out.append(taxa[at])
+            at += 1
+        return tuple(out)
+
+    specs = []
+    for r in range(total) if total <= most else sorted(rng.sample(range(total), most)):
+        four = unranked(r)
+        size = math.prod(len(of[t]) for t in four)
+        for c, grid in enumerate(range(size) if size <= combinations else sorted(rng.sample(range(size), combinations))):
+            for i, t in enumerate(four):
+                grid, at = divmod(grid, len(of[t]))
+                specs.append((";".join(four), c, i, of[t][at]))
+    kind = cells.schema["sample"].dataType.simpleString()
+    drawn = cells.sparkSession.createDataFrame(specs, f"quartet string, c int, i int, sample {kind}")
+    x = cells.filter("dosage IS NOT NULL").select("sample", "locus", F.rint("dosage").cast("int").alias("x")).join(F.broadcast(drawn), "sample")  # at most 4 × most × combinations rows
+    per = x.groupBy("quartet", "c", "locus").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"x{i}") for i in range(4)]).filter("n = 4")
+    split = F.col("x0") + F.col("x1") + F.col("x2") + F.col("x3") == 2
+    same = [F.count_if(split & (F.col("x0") == F.col(f"x{i}"))).alias(f"c{i}") for i in (1, 2, 3)]
+    counted = per.groupBy("quartet", "c").agg(F.count("*").alias("loci"), F.count_if(split).alias("inf"), *same).filter(F.col("loci") >= least_loci)
+    means = counted.groupBy("quartet").agg(*[F.avg(F.when(F.col("inf") > 0, F.col(f"c{i}"))).alias(f"c{i}") for i in (1, 2, 3)])
+
+    def judge(quartet: str, c: list[float]) -> tuple | None:
+        a, b, d, e = quartet.split(";")
+        names = (f"{a},{b}|{d},{e}", f"{a},{d}|{b},{e}", f"{a},{e}|{b},{d}")
+        if any(v is None or v != v for v in c):
+            return quartet, names[0], 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0
+        n = sum(c)
+        if n <= 0:
+            return None
+        s = sorted(c, reverse=True)
+        p0, p1 = [s[0] / n, (s[1] + s[2]) / 2 / n, (s[1] + s[2]) / 2 / n], [v / n for v in s]
+        fixed = math.lgamma(n + 1) - sum(math.lgamma(v + 1) for v in s)
+        like0, like1 = (fixed + sum(v * math.log(q) for v, q in zip(s, p, strict=True) if v > 0 and q > 0) for p in (p0, p1))
+        p = math.erfc(math.sqrt(max(0.0, like1 - like0)))  # chi-square of one degree of freedom at twice the difference
+        delta = (-2 * like0 + 2 + 4 / max(1.0, n - 2)) - (-2 * like1 + 4 + 12 / max(1.0, n - 3))
+        gamma = round(s[1] / max(1e-9, s[0] + s[1]), 4) if delta >= 2 and p < 0.05 else 0.0
+        return quartet, names[c.index(s[0])], *(round(v / n, 4) for v in c), round(n, 2), gamma, p, round(delta, 4)
+
+    columns = ["quartet", "major_topology", "cf_12_34", "cf_13_24", "cf_14_23", "n_inform_loci", "snaq_gamma_minor", "g_test_p", "delta_aicc_reticulation"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [judge(q, list(c)) for q, *c in pdf[["quartet", "c1", "c2", "c3"]].itertuples(index=False)]
+            yield pd.DataFrame([r for r in rows if r], columns=columns)
+
+    return means.mapInPandas(run, ", ".join(f"{c} {'string' if i < 2 else 'double'}" for i, c in enumerate(columns)))
+
+
 def ploidy_fit(cells: DataFrame, rounds: int = 25) -> DataFrame:
     """sample, ploidy, bic of the best: read ratios of heterozygotes as a mixture of normals at the shares that a
     ploidy allows, plus noise; one small task a sample."""

@@ -92,6 +92,12 @@ def q_quartet(spark: SparkSession, d: str) -> DataFrame:
     return N.quartet_counts(cells, ("1", "2", "3", "4"))
 
 
+def q_quartet_concordance(spark: SparkSession, d: str) -> DataFrame:
+    """Quartets of nations over the samples of all suppliers."""
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_nationkey").alias("group"))
+    return N.quartet_concordance(_cells(spark, d), nations)
+
+
 def q_ploidy_fit(spark: SparkSession, d: str) -> DataFrame:
     return N.ploidy_fit(_cells(spark, d)).select("sample", "ploidy", F.round("bic", 3).alias("bic"))
 

@@ -131,3 +131,16 @@ def test_streams_resume(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 4), ("c", 6)]
     I.run_to_table(spark.readStream.schema(schema).parquet(src), str(tmp_path / "t"), str(tmp_path / "t_at"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_quartets_of_all_groups(spark):
+    # a, b, c, d, e with one sample each but a, which has two; ab|cd at 12 loci, ac|bd at 2, one locus uncalled in e
+    patterns = [{"a": 1, "b": 1, "c": 0, "d": 0, "e": 0}] * 12 + [{"a": 1, "b": 0, "c": 1, "d": 0, "e": 0}] * 2
+    cells = [(s, i, float(p[s[0]])) for i, p in enumerate(patterns) for s in ("a1", "a2", "b", "c", "d")] + [("e", i, 0.0) for i in range(7)]
+    groups = spark.createDataFrame([(s, s[0]) for s in ("a1", "a2", "b", "c", "d", "e")], "sample string, group string")
+    out = {r["quartet"]: r for r in N.quartet_concordance(spark.createDataFrame(cells, "sample string, locus int, dosage double"), groups).collect()}
+    assert set(out) == {"a;b;c;d"}  # the others share seven loci
+    r = out["a;b;c;d"]
+    assert (r["major_topology"], r["cf_12_34"], r["cf_13_24"], r["cf_14_23"], r["n_inform_loci"]) == ("a,b|c,d", 0.8571, 0.1429, 0.0, 14.0)
+    g = 2 * 2 * math.log(2)  # 2 against 0 where 1 and 1 are expected
+    assert abs(r["g_test_p"] - math.erfc(math.sqrt(g / 2))) < 1e-9 and abs(r["delta_aicc_reticulation"] - round(g - 2 + 4 / 12 - 12 / 11, 4)) < 1e-4
