@@ -34,7 +34,7 @@ def q_name_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_harmonic_power(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "extracted_leaves").filter("contour_xy_json IS NOT NULL").withColumn("c", P.fourier_column(P.vertices(F.col("contour_xy_json")), 6))
+    e = table(spark, d, "extracted_leaves").filter("contour_xy_json IS NOT NULL").withColumn("c", P.fourier_column(P.vertices(F.col("contour_xy_json")), 24))
     return B.harmonic_power(e, "c").select("n_harmonics", F.round("power", 6).alias("power"))
 
 

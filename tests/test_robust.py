@@ -61,3 +61,13 @@ def test_donors_and_power(spark):
     assert got == {("a", "b"): 1.0, ("b", "a"): 1.0, ("c", "b"): 1.0}
     power = B.harmonic_power(spark.createDataFrame([([10.0, 0.0, 0.0, 5.0, 1.0, 0.0, 0.0, 0.0, 0.01, 0.0, 0.0, 0.0],)], "c array<double>"), "c").first()
     assert power["n_harmonics"] == 1 and power["power"] > 0.99
+
+
+def test_power_counts_fine_detail(spark, tmp_path):
+    from sheetmill.queries.robusts import QUERIES
+
+    angle = 2 * np.pi * np.arange(400) / 400
+    r = 100 + 40 * np.cos(12 * angle)
+    contour = str(np.column_stack([r * np.cos(angle), r * np.sin(angle)]).tolist())
+    spark.createDataFrame([(contour,)], "contour_xy_json string").write.parquet(f"{tmp_path}/extracted_leaves.parquet")
+    assert 10 < QUERIES["harmonic_power"](spark, str(tmp_path)).first()["n_harmonics"] <= 24
