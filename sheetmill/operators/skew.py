@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 #: A key is hot when it holds more than this share of the rows; so at most 1 / HOT_SHARE keys can be hot.
-HOT_SHARE = 1 / 1000
+HOT_SHARE = 1 / 20_000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, share: float = HOT_SHARE) -> DataFrame:
@@ -26,14 +26,24 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, tot
     return tagged.filter(F.col("__hot")).drop("__hot").unionByName(cold)
 
 
-#: A lookup of at most so many rows of a few numbers (some 50 MB) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A lookup estimated at up to so many bytes is broadcast; a larger one is joined by a shuffle. Held in memory it takes
+#: some three times as much.
+BROADCAST_BYTES = 16 << 20
 
 
-def checked_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, n: str, total: int) -> DataFrame:
-    """Join ``rows`` to ``lookup`` (one row a key, materialised): by broadcast if its counted size allows it, or else
-    as left_lookup does, with only the hot keys broadcast. ``how``: 'inner' or 'left_semi'."""
-    if lookup.count() <= BROADCAST_ROWS:
+def estimated_bytes(df: DataFrame) -> int:
+    """Counted rows of ``df`` (materialised) times the width of its types: strings count 20 bytes, a row 8."""
+    width = {"string": 20, "bigint": 8, "double": 8, "int": 4, "boolean": 1}
+    return df.count() * (8 + sum(width.get(t, 60) for _, t in df.dtypes))
+
+
+def checked_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, n: str, total: int, most: int | None = None) -> DataFrame:
+    """Join ``rows`` to ``lookup`` (one row a key, materialised): by broadcast if its estimated size is at most ``most``
+    bytes (BROADCAST_BYTES), or else as left_lookup does, with only the hot keys broadcast. ``how``: 'inner', 'left' or
+    'left_semi'."""
+    if estimated_bytes(lookup.drop(n)) <= (BROADCAST_BYTES if most is None else most):
         return rows.join(F.broadcast(lookup.drop(n)), keys, how)
+    if how == "left":
+        return left_lookup(rows, lookup, keys, n, total)
     found = left_lookup(rows, lookup.withColumn("__there", F.lit(True)), keys, n, total).filter(F.col("__there")).drop("__there")
     return found.select(*rows.columns) if how == "left_semi" else found
