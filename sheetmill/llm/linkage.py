@@ -1,8 +1,9 @@
 """Entities of two sources without a common key, linked by a cascade of rules.
 
 Each rule is an exact join on a combination of attributes, from the strongest combination to the weakest; what a rule
-resolves is anti-joined before the next. Weaker rules also need the place and the taxon to agree. The confidence of a
-rule is its precision on the records that the first rule, taken as the label, resolves, with add-one smoothing.
+resolves is anti-joined before the candidates of the next are formed. Weaker rules also need the place and the taxon to
+agree. Records with a catalogue number are the labels: they run through the passes blind, and the confidence of a rule
+is its precision on those of them that it resolved, with add-one smoothing.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.skew import checked_join
 from ..operators.timestamps import normalise_timestamps
 from ..session import cut_table
 from .canonical import map_to_canonical
@@ -48,8 +50,8 @@ def read_sources(vouchers: DataFrame, samples: DataFrame, zones: DataFrame) -> t
     """(sheets, samples) as link_samples takes them.
 
     Sheets: catalogNumber, catalog, gathering, surname, number, date, lat, lon, county, state, taxon. The gathering is
-    the normalised exsiccatae_key; a sheet without one is a gathering of its own, whose collector, number and local
-    date come from its own fields. Samples: sample, catalog, pair, surname, number, date, the surname start and number
+    the normalised exsiccatae_key; of a sheet without one it is made of the sheet's own collector, number and local date,
+    and a sheet that lacks one of these is a gathering of its own. Samples: sample, catalog, pair, surname, number, date, the surname start and number
     within the id (id_surname, id_number), lat, lon, county, state, taxon of each distinct delivery. ``zones``:
     state_key, state_norm, zone_name. Free fields of both sources are read in one pass.
     """
@@ -81,7 +83,8 @@ def read_sources(vouchers: DataFrame, samples: DataFrame, zones: DataFrame) -> t
     date = F.coalesce(given, F.date_format(local, "yyyy-MM-dd"), F.when(F.length("event_norm") == 10, F.col("event_norm")))
     free = cut_table(free.select("side", "id", "pair", catalog_key(F.col("catalogNumber")).alias("catalog"), surname_key("person").alias("surname"), number_key(F.col("written")).alias("number"), date.alias("date"), *place))
     shared = ["catalog", "surname", "number", "date", "lat", "lon", "county", "state", "taxon"]
-    bare = free.filter("side = 'sheet'").select(F.col("id").alias("catalogNumber"), F.concat(F.lit("sheet "), "id").alias("gathering"), *shared)
+    made = F.coalesce(F.concat("surname", F.lit("_"), "number", F.lit("_"), "date"), F.concat(F.lit("sheet "), "id"))
+    bare = free.filter("side = 'sheet'").select(F.col("id").alias("catalogNumber"), made.alias("gathering"), *shared)
     coded = r"^[A-Z]+-([A-Z]+?)([0-9]+[A-Z]?)-[0-9]+$"
     own = F.col("id").rlike(coded)
     out = free.filter("side = 'sample'").select(
@@ -93,106 +96,155 @@ def read_sources(vouchers: DataFrame, samples: DataFrame, zones: DataFrame) -> t
     return sheets.select(*[c for c in sheets.columns if c not in ("lat", "lon")], spot("lat").alias("lat"), spot("lon").alias("lon")), out
 
 
-def _one_digit_off(a: Column, b: Column) -> Column:
-    """Equal, or of one length with one character different."""
-    return (a == b) | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b) <= 1))
+PLACE = ("lat", "lon", "county", "state", "taxon")
+THEIRS = tuple(f"s_{c}" for c in PLACE)
 
 
-def _known(raw: DataFrame, reference: DataFrame, entry: str, canonical: str, kind: str) -> DataFrame:
-    """value, norm: what each distinct value means of the list."""
-    return map_to_canonical(raw, "value", reference, entry, canonical, kind).select("value", F.nullif("canonical_value", F.lit("")).alias("norm"))
+def _masked(number: Column) -> Column:
+    """The number and, for each of its characters, the number with that one masked: two numbers with a common entry
+    are equal or of one length with one character different."""
+    spots = F.sequence(F.lit(1), F.length(number))
+    return F.concat(F.array(number), F.transform(spots, lambda i: F.concat(F.substring(number, F.lit(1), i - 1), F.lit("?"), F.substring(number, i + 1, F.length(number)))))
 
 
-def agreement(pairs: DataFrame, samples: DataFrame, places: DataFrame, counties: DataFrame, taxa: DataFrame) -> DataFrame:
-    """sample, gathering, rule, score: how far place and taxon of a pair agree, the best over the gathering's places
-    and the sample's deliveries. A near point weighs 4 (a lost sign or swapped coordinates count
-    as near), a same county 2.5, a same taxon 1.5 and a same state 0.5;
-    a far point takes 0.5, another county 2, another taxon 1 and another state 3. What is missing weighs nothing."""
-    both = pairs.join(samples.select("sample", *[F.col(c).alias(f"s_{c}") for c in ("lat", "lon", "county", "state", "taxon")]), "sample").join(places, "gathering")
-    both = cut_table(both)
-    named = lambda c: both.select(F.explode(F.array(c, f"s_{c}")).alias("value")).filter("value IS NOT NULL").distinct()
-    county, taxon = cut_table(_known(named("county"), counties, "county_norm", "county_norm", "place")), cut_table(_known(named("taxon"), taxa, "raw_name_lower", "canonical_packera", "taxon"))
-    for c, book in (("county", county), ("s_county", county), ("taxon", taxon), ("s_taxon", taxon)):
-        both = both.join(book.select(F.col("value").alias(c), F.col("norm").alias(f"{c}_norm")), c, "left")
+def _stems(surname: Column) -> Column:
+    """The surname and all strings left after deleting one letter of it."""
+    cuts = F.transform(F.sequence(F.lit(1), F.length(surname)), lambda i: F.concat(F.substring(surname, F.lit(1), i - 1), F.substring(surname, i + 1, F.length(surname))))
+    return F.array_distinct(F.concat(F.array(surname), cuts))
 
-    def weigh(a: str, b: str, same: float, other: float) -> Column:
-        return F.when(F.col(a) == F.col(b), same).when(F.col(a) != F.col(b), -other).otherwise(0.0)
+
+def _meant(rows: list[DataFrame], column: str, reference: DataFrame, entry: str, canonical: str, kind: str) -> list[DataFrame]:
+    """``rows`` with ``column`` replaced by what it means of the list (null: none of it); every distinct value of all
+    of them is looked up once."""
+    values = reduce(DataFrame.unionByName, [r.select(F.col(column).alias("value")) for r in rows]).filter("value IS NOT NULL")
+    counts = cut_table(values.groupBy("value").agg(F.count("*").alias("n")))
+    norm = map_to_canonical(counts, "value", reference, entry, canonical, kind).select("value", F.nullif("canonical_value", F.lit("")).alias("norm"))
+    book = cut_table(counts.join(norm, "value").select(F.col("value").alias(column), "norm", "n"))
+    total = book.agg(F.sum("n")).first()[0] or 0
+    return [checked_join(r, book, [column], "left", "n", total).drop(column).withColumnRenamed("norm", column) for r in rows]
+
+
+def _score() -> Column:
+    """How far place and taxon of a sample (columns s_...) and a sheet agree. A near point weighs 4 (a lost sign or
+    swapped coordinates count as near), a same county 2.5, a same taxon 1.5 and a same state 0.5; a far point takes
+    0.5, another county 2, another taxon 1 and another state 3. What is missing weighs nothing."""
+
+    def weigh(c: str, same: float, other: float) -> Column:
+        return F.when(F.col(c) == F.col(f"s_{c}"), same).when(F.col(c) != F.col(f"s_{c}"), -other).otherwise(0.0)
 
     def close(lat: Column, lon: Column) -> Column:
         return (F.abs(lat - F.col("s_lat")) <= NEAR_DEGREES) & (F.abs(lon - F.col("s_lon")) <= NEAR_DEGREES)
 
     lat, lon = F.col("lat"), F.col("lon")
     near = close(lat, lon) | close(lat, -lon) | close(-lat, lon) | close(lon, lat)
-    score = F.when(near, 4.0).when(~near, -0.5).otherwise(0.0) + weigh("county_norm", "s_county_norm", 2.5, 2.0) + weigh("taxon_norm", "s_taxon_norm", 1.5, 1.0) + weigh("state", "s_state", 0.5, 3.0)
-    return both.groupBy("sample", "gathering", "rule").agg(F.max(score).alias("score"))
+    return F.when(near, 4.0).when(~near, -0.5).otherwise(0.0) + weigh("county", 2.5, 2.0) + weigh("taxon", 1.5, 1.0) + weigh("state", 0.5, 3.0)
+
+
+def _met(samples: DataFrame, sheets: DataFrame, on: list[str], least: float | None = LEAST_AGREEMENT, where: Column | None = None, key: str = "sample") -> DataFrame:
+    """``key``, score, gathering: for each sample (or class of samples) the gathering that agrees best of those it meets
+    on the columns ``on``, the smaller of equals; at least ``least``."""
+    pairs = samples.dropna(subset=on).join(sheets.dropna(subset=on), on)
+    pairs = (pairs if where is None else pairs.filter(where)).select(key, "gathering", _score().alias("score"))
+    if least is not None:
+        pairs = pairs.filter(F.col("score") >= least)
+    return _best(pairs, key)
+
+
+def _best(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "gathering")).alias("b")).select(key, (-F.col("b.s")).alias("score"), "b.gathering")
+
+
+def candidates_of_rule(rule: int, rest: DataFrame, known: DataFrame) -> DataFrame:
+    """sample, score, gathering: what one of the rules 2 to 7 finds for the samples of ``rest``, see link_samples."""
+    mine, place = ["sample", *THEIRS], ["gathering", *PLACE]
+    if rule == 2:
+        on = ["surname", "number", "date"]
+        return _met(rest.select(*on, *mine), known.select(*on, *place), on, None)
+    if rule == 3:
+        start = lambda c: F.substring(c, 1, 2).alias("start")
+        coded = rest.filter("length(id_surname) >= 2").select(start("id_surname"), "id_surname", F.col("id_number").alias("number"), *mine)
+        begun = F.col("surname").startswith(F.col("id_surname")) | F.col("id_surname").startswith(F.col("surname"))
+        return _met(coded, known.filter("length(surname) >= 2").select(start("surname"), "surname", "number", *place), ["start", "number"], where=begun)
+    if rule == 4:
+        return _on_day(rest.dropna(subset=["surname", "date"]).select("surname", "date", "number", *mine), known)
+    if rule == 5:
+        return _met(rest.select("number", "date", *mine), known.filter("surname IS NULL").select("number", "date", *place), ["number", "date"])
+    if rule == 6:
+        return _met(rest.select("surname", "number", *mine), known.filter("date IS NULL").select("surname", "number", *place), ["surname", "number"])
+    on = ["surname", "number", "date"]
+    open_ = rest.filter("length(surname) >= 2").dropna(subset=on).select(*on, *mine)
+    same = known.filter("length(surname) >= 2").select(*on, *place).join(open_.select("number", "date").distinct(), ["number", "date"], "left_semi")
+    stem = lambda df: df.withColumn("stem", F.explode(_stems(F.col("surname")))).drop("surname")
+    return _met(stem(open_), stem(same), ["stem", "number", "date"])
+
+
+def _on_day(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """Rule 4. Gatherings of a collector's day that differ in nothing but what the sample lacks are one class, as are
+    samples that differ in nothing but their id, so a day of very many sheets or samples meets its distinct places."""
+    on = ["surname", "date", "mask"]
+    days = known.dropna(subset=["surname", "date"]).join(rest.select("surname", "date").distinct(), ["surname", "date"], "left_semi")
+    numbers = F.when(F.col("number").isNotNull(), _masked(F.col("number")))
+    days = days.withColumn("mask", F.explode(F.concat(F.array(F.lit("")), F.coalesce(numbers, F.array().cast("array<string>")))))
+    days = days.groupBy(*on, *PLACE).agg(F.min("gathering").alias("gathering"))
+    masks = rest.withColumn("mask", F.explode(F.coalesce(numbers, F.array(F.lit(""))))).drop("number")
+    shape = [F.col(c) for c in (*on, *THEIRS)]
+    masks = masks.withColumn("class", F.concat_ws(" ", F.xxhash64(*shape), F.xxhash64(F.lit(1), *shape)))
+    found = _met(masks.drop("sample").dropDuplicates(["class"]), days, on, key="class")
+    return _best(masks.select("sample", "class").join(found, "class"), "sample")
 
 
 def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, taxa: DataFrame) -> DataFrame:
     """sample, gathering, rule, confidence: the gathering each sample was taken from; ``samples`` and ``sheets`` as
     read_sources gives them.
 
-    Rules: 1 catalogue number; 2 surname, number and date; 3 surname start and number within the sample's id;
-    4 surname and date with the number missing or one digit off; 5 number and date where the sheet names no collector;
-    6 surname and number where the sheet has no date; 7 number and date with a surname one letter off; 8 what the
-    replicate of the sample resolved to. Rules 3 to 7 need LEAST_AGREEMENT of place and taxon; the best agreement
-    wins, then the smaller gathering. Nulls never match; samples without any match have no row; repeated deliveries
-    of a sample count together; empty tables give no row.
-
-    Candidates only come from exact joins on at least two attributes (rule 7 on a surname with a letter deleted), so
-    one frequent collector or date alone brings no pairs together.
+    Rules: 1 catalogue number; 2 surname, number and date; 3 surname and number within the sample's id (one surname may
+    be cut off); 4 surname and date with the number missing or one character off; 5 number and date where the sheet
+    names no collector; 6 surname and number where the sheet has no date; 7 number and date with a surname one letter
+    off; 8 what the replicate of the sample resolved to. Rules 3 to 7 need LEAST_AGREEMENT of place and taxon; the best
+    agreement wins, then the smaller gathering. Where a catalogue number stands for several gatherings, the one whose
+    surname, number and date agree most counts. Nulls never match; samples without any match have no row; repeated
+    deliveries of a sample count together; empty tables give no row.
+
+    A pass forms candidates only for what no pass before it has resolved. Samples with a catalogue number are the
+    labels: they run through passes 2 to 7 as if they had none, which measures those rules (see _precision); their own
+    result is that of rule 1. Candidates come from exact joins on at least two attributes and a place; equal places of
+    one combination are one class before the join.
     """
-    samples = cut_table(samples)
-    known = sheets.select("gathering", "surname", "number", "date").distinct()
-    places = sheets.select("gathering", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "county", "state", "taxon").distinct()
-    s = samples.select("sample", "surname", "number", "date", "id_surname", "id_number").distinct()
-
-    def exact(rule: int, on: list[str], left: DataFrame = s, right: DataFrame = known) -> DataFrame:
-        left = reduce(lambda d, c: d.filter(F.col(c).isNotNull()), on, left)
-        return left.select("sample", *on).join(right.select("gathering", *on), on).select("sample", "gathering", F.lit(rule).alias("rule")).distinct()
-
-    labels = samples.filter(F.col("catalog").isNotNull()).select("sample", "catalog").join(sheets.select("catalog", "gathering"), "catalog").groupBy("sample").agg(F.min("gathering").alias("gathering"))
-    by_id = s.filter(F.col("id_surname").isNotNull()).select("sample", F.substring("id_surname", 1, 5).alias("start"), F.col("id_number").alias("number"))
-    started = known.filter(F.length("surname") >= 1).select("gathering", F.substring("surname", 1, 5).alias("start"), "number")
-    day = s.filter("surname IS NOT NULL AND date IS NOT NULL").select("sample", "surname", "date", F.col("number").alias("n"))
-    on_day = day.join(known.select("gathering", "surname", "date", "number"), ["surname", "date"])
-    on_day = on_day.filter(F.col("n").isNull() | _one_digit_off(F.col("n"), F.col("number"))).select("sample", "gathering", F.lit(4).alias("rule"))
-
-    def stems(df: DataFrame) -> DataFrame:
-        cuts = F.transform(F.sequence(F.lit(1), F.length("surname")), lambda i: F.concat(F.substring(F.col("surname"), F.lit(1), i - 1), F.substring(F.col("surname"), i + 1, F.length("surname"))))
-        return df.filter("length(surname) >= 5 AND number IS NOT NULL AND date IS NOT NULL").withColumn("stem", F.explode(F.array_distinct(F.concat(F.array("surname"), cuts))))
-
-    weak = [
-        exact(3, ["start", "number"], by_id, started),
-        on_day,
-        exact(5, ["number", "date"], right=known.filter("surname IS NULL")),
-        exact(6, ["surname", "number"], right=known.filter("date IS NULL")),
-        exact(7, ["stem", "number", "date"], stems(s.select("sample", "surname", "number", "date")), stems(known)),
-    ]
-    strong = cut_table(exact(2, ["surname", "number", "date"]))
-    # rule 2 needs no agreement; several gatherings of one surname, number and date are told apart by it
-    several = strong.groupBy("sample").agg(F.count("*").alias("k")).filter("k > 1").select("sample")
-    open_pairs = reduce(DataFrame.unionByName, weak).unionByName(strong.join(several, "sample", "left_semi"))
-    judged = cut_table(agreement(open_pairs, samples, places, counties, taxa).filter((F.col("score") >= LEAST_AGREEMENT) | (F.col("rule") == 2)))
-    judged = judged.unionByName(strong.join(several, "sample", "left_anti").withColumn("score", F.lit(0.0)))
-    best = Window.partitionBy("rule", "sample").orderBy(F.desc("score"), F.asc("gathering"))
-    picked = judged.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("sample", "gathering", "rule")
-    found = cut_table(labels.select("sample", "gathering", F.lit(1).alias("rule")).unionByName(picked))
-    passes = [found.filter(F.col("rule") == r) for r in range(1, 8)]
-    precision = cut_table(_precision(found.filter("rule > 1"), passes[0]))
-    # each pass takes what no pass before it has resolved
-    fresh = [p.join(reduce(DataFrame.unionByName, [q.select("sample") for q in passes[:i]]), "sample", "left_anti") if i else p for i, p in enumerate(passes)]
-    resolved = cut_table(reduce(DataFrame.unionByName, fresh))
+    samples, sheets = _meant([samples, sheets], "county", counties, "county_norm", "county_norm", "place")
+    samples, sheets = _meant([samples, sheets], "taxon", taxa, "raw_name_lower", "canonical_packera", "taxon")
+    keys = ["surname", "number", "date"]
+    samples = cut_table(samples.select("sample", "pair", "catalog", *keys, "id_surname", "id_number", *[F.col(c).alias(s) for c, s in zip(PLACE, THEIRS, strict=True)]).distinct())
+    sheets = cut_table(sheets.select("catalog", "gathering", *keys, F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "county", "state", "taxon").distinct())
+    known = sheets.groupBy(*keys, *PLACE).agg(F.min("gathering").alias("gathering"))
+
+    agree = sum((F.coalesce((F.col(f"m_{c}") == F.col(c)).cast("double"), F.lit(0.0)) for c in keys), F.lit(0.0))
+    labelled = samples.filter("catalog IS NOT NULL").select("sample", "catalog", *[F.col(c).alias(f"m_{c}") for c in keys])
+    labels = cut_table(_best(labelled.join(sheets.select("catalog", "gathering", *keys), "catalog").select("sample", "gathering", agree.alias("score")), "sample").select("sample", "gathering", F.lit(1).alias("rule")))
+
+    blind, rest = None, samples
+    for rule in range(2, 8):
+        found = cut_table(candidates_of_rule(rule, rest, known).select("sample", "gathering", F.lit(rule).alias("rule")))
+        blind = found if blind is None else blind.unionByName(found)
+        rest = samples.join(blind.select("sample"), "sample", "left_anti")
+    resolved = labels.unionByName(blind.join(labels.select("sample"), "sample", "left_anti"))
+
     pairs = samples.filter(F.trim("pair") != "").select("sample", "pair").distinct()
-    partner = pairs.join(resolved, "sample").groupBy("pair").agg(F.min(F.struct("rule", "gathering")).alias("b"))
-    rest = pairs.join(resolved.select("sample"), "sample", "left_anti").join(partner, "pair").groupBy("sample").agg(F.min("b.gathering").alias("gathering"))
-    resolved = resolved.unionByName(rest.select("sample", "gathering", F.lit(8).alias("rule")))
-    return resolved.join(F.broadcast(precision), "rule", "left").select("sample", "gathering", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
-
-
-def _precision(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """rule, confidence: (right + 1) / (labelled + 2) of each rule on the labelled samples; the label rule and the
-    replicate rule count as right as often as any."""
-    judged = found.join(labels.select("sample", F.col("gathering").alias("label")), "sample").groupBy("rule").agg(F.sum((F.col("gathering") == F.col("label")).cast("bigint")).alias("right"), F.count("*").alias("n"))
-    every = labels.agg(F.lit(1).alias("rule"), F.count("*").alias("right"), F.count("*").alias("n"))
-    twin = labels.agg(F.lit(8).alias("rule"), F.count("*").alias("right"), F.count("*").alias("n"))
-    return judged.unionByName(every).unionByName(twin).select("rule", ((F.col("right") + 1) / (F.col("n") + 2)).alias("confidence"))
+    told = pairs.join(resolved, "sample").select("pair", F.col("sample").alias("by"), F.struct("rule", "gathering").alias("b"))
+    # the two best of a pair are enough to leave out the sample itself
+    order = Window.partitionBy("pair").orderBy("b", "by")
+    told = told.withColumn("rn", F.row_number().over(order)).filter("rn <= 2").drop("rn")
+    twin = pairs.join(told, "pair").filter(F.col("sample") != F.col("by")).groupBy("sample").agg(F.min("b").alias("b"))
+    twin = cut_table(twin.select("sample", "b.gathering", F.lit(8).alias("rule")))
+    precision = _precision(labels, blind, twin)
+    every = resolved.unionByName(twin.join(resolved.select("sample"), "sample", "left_anti"))
+    return every.join(F.broadcast(precision), "rule", "left").select("sample", "gathering", "rule", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+
+
+def _precision(labels: DataFrame, blind: DataFrame, twin: DataFrame) -> DataFrame:
+    """rule, confidence of the eight rules: (right + 1) / (n + 2). Rules 2 to 7 are judged by the labelled samples they
+    resolved blind, rule 8 by the labelled samples whose replicate is resolved, and rule 1, the label itself, by how
+    often the strongest other rule, 2, confirms it."""
+    label = labels.select("sample", F.col("gathering").alias("label"))
+    judged = blind.unionByName(twin).join(label, "sample").groupBy("rule").agg(F.sum((F.col("gathering") == F.col("label")).cast("bigint")).alias("right"), F.count("*").alias("n"))
+    judged = judged.withColumn("rule", F.explode(F.when(F.col("rule") == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array("rule"))))
+    return judged.select("rule", ((F.col("right") + 1) / (F.col("n") + 2)).alias("confidence"))
