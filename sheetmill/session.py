@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,16 @@ def build_session(master: str = "local[8]", app: str = "sheetmill", shuffle: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir`` or the context's checkpoint folder. A temporary one
+    only where both are unset and the master is local; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="sheetmill-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -50,12 +54,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_table(df: DataFrame) -> DataFrame:
     """As cut, but as a Parquet table in the shared folder: far smaller than a checkpoint for rows of plain columns.
-    The table is deleted when the session's Python ends."""
+    The table is deleted by release, or when the session's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of cut_table that nothing will read again."""
+    for t in tables:
+        _drop(t.sparkSession, t._cut_path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
