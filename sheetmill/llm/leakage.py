@@ -9,10 +9,7 @@ from __future__ import annotations
 
 import pickle
 import re
-import sys
-import types
 import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.skew import checked_join
 from ..session import cut_table
-from .texts import map_texts
+from .texts import kept, map_texts
 
 #: Consecutive words of an item that make a leak.
 MIN_WORDS = 20
@@ -212,28 +209,10 @@ def _automata(items: DataFrame, item_id: str, text: str, least: int, block: int)
     return numbers, np.unique(np.concatenate(pairs)), out
 
 
-class _Held:
-    """What a Python worker keeps from task to task: words, pairs and the automata used last."""
-
-    def __init__(self, words: Broadcast, blocks: list[Broadcast], most: int) -> None:
-        (self.numbers, self.pairs), self.blocks, self.most = words.value, blocks, most
-        self.loaded: OrderedDict[int, SuffixAutomaton] = OrderedDict()
-
-    def automaton(self, k: int) -> SuffixAutomaton:
-        if k not in self.loaded:
-            while len(self.loaded) >= self.most:
-                self.loaded.popitem(last=False)
-            self.loaded[k] = SuffixAutomaton.load(self.blocks[k].value)
-            self.blocks[k].__dict__.pop("_value", None)  # the bytes stay in the worker's file
-        self.loaded.move_to_end(k)
-        return self.loaded[k]
-
-    @staticmethod
-    def of(key: str, words: Broadcast, blocks: list[Broadcast], most: int) -> _Held:
-        keep = sys.modules.setdefault("_sheetmill_held", types.ModuleType("_sheetmill_held")).__dict__
-        if keep.get("key") != key:
-            keep.update(key=key, held=_Held(words, blocks, most))
-        return keep["held"]
+def _loaded(sent: Broadcast) -> SuffixAutomaton:
+    out = SuffixAutomaton.load(sent.value)
+    sent.__dict__.pop("_value", None)  # the bytes stay in the worker's file
+    return out
 
 
 def leaked_passages(
@@ -259,13 +238,13 @@ def leaked_passages(
     words, key = spark.sparkContext.broadcast((numbers, pairs)), uuid.uuid4().hex
 
     def kernel(found: Iterator[dict]) -> Iterator[dict]:
-        book = _Held.of(key, words, blocks, held)
+        numbers, pairs = words.value
         runs: list[tuple[int | None, list[int], int]] = []
         n = 0
 
         def follow() -> Iterator[dict]:
             for k in range(len(blocks)):
-                automaton = book.automaton(k)
+                automaton = kept(f"{key}-{k}", lambda k=k: _loaded(blocks[k]), held)
                 hits = [(d, i, a, b - a) for d, codes, lo in runs for a, b, ids in automaton._follow(codes, lo) for i in ids]
                 if hits:
                     d, i, a, m = zip(*hits, strict=True)
@@ -274,7 +253,7 @@ def leaked_passages(
         for r in found:
             if not r["text"]:
                 continue
-            for codes, lo in suspicious_runs(words_of(r["text"]), book.numbers, book.pairs, least):
+            for codes, lo in suspicious_runs(words_of(r["text"]), numbers, pairs, least):
                 runs.append((r["doc_id"], codes, lo))
                 n += len(codes)
             if n >= RUN_WORDS:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,3 +47,15 @@ def _joined(parts: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
         chunks = [pa.array(p[f.name], type=f.type) for p in parts]
         arrays.append(chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks))
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+
+def kept(key: str, make: Callable[[], object], most: int) -> object:
+    """What ``make`` returns, kept by the Python worker from task to task; of more than ``most`` things the one used
+    longest ago is given up. It is held outside of this package, whose functions may reach a worker by value."""
+    held: OrderedDict = sys.modules.setdefault("_sheetmill_kept", types.ModuleType("_sheetmill_kept")).__dict__.setdefault("held", OrderedDict())
+    if key not in held:
+        while len(held) >= most:
+            held.popitem(last=False)
+        held[key] = make()
+    held.move_to_end(key)
+    return held[key]
