@@ -31,17 +31,18 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, tot
 BROADCAST_BYTES = 16 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Counted rows of ``df`` (materialised) times the width of its types: strings count 20 bytes, a row 8."""
+def row_bytes(df: DataFrame) -> int:
+    """Estimated bytes of a row by its types: strings count 20, arrays and structs 60, the row itself 8."""
     width = {"string": 20, "bigint": 8, "double": 8, "int": 4, "boolean": 1}
-    return df.count() * (8 + sum(width.get(t, 60) for _, t in df.dtypes))
+    return 8 + sum(width.get(t, 60) for _, t in df.dtypes)
 
 
-def checked_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, n: str, total: int, most: int | None = None) -> DataFrame:
-    """Join ``rows`` to ``lookup`` (one row a key, materialised): by broadcast if its estimated size is at most ``most``
-    bytes (BROADCAST_BYTES), or else as left_lookup does, with only the hot keys broadcast. ``how``: 'inner', 'left' or
-    'left_semi'."""
-    if estimated_bytes(lookup.drop(n)) <= (BROADCAST_BYTES if most is None else most):
+def checked_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, n: str, total: int, most: int | None = None, counted: int | None = None) -> DataFrame:
+    """Join ``rows`` to ``lookup`` (one row a key, materialised): by broadcast if its rows, ``counted`` here or before,
+    are estimated at no more than ``most`` bytes (BROADCAST_BYTES), or else as left_lookup does, with only the hot keys
+    broadcast. ``how``: 'inner', 'left' or 'left_semi'."""
+    counted = lookup.count() if counted is None else counted
+    if counted * row_bytes(lookup.drop(n)) <= (BROADCAST_BYTES if most is None else most):
         return rows.join(F.broadcast(lookup.drop(n)), keys, how)
     if how == "left":
         return left_lookup(rows, lookup, keys, n, total)
