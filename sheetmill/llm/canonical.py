@@ -27,6 +27,8 @@ MAX_EDITS = 2
 EDIT_LENGTHS = (4, 7)
 #: Words beyond that length, whose deletions would be many, are filed under pieces instead, which finds the same entries.
 PIECE_WORD = 40
+#: Words whose entries a dictionary remembers: the words of typed values recur.
+LOOKED_WORDS = 100_000
 #: Blocks whose dictionaries a worker holds at once.
 HELD_BLOCKS = 8
 #: Letters that Unicode does not take apart into a plain letter and a mark.
@@ -77,6 +79,7 @@ class DeleteDictionary:
 
     def __init__(self, words: set[str], edits: int = MAX_EDITS) -> None:
         self.edits, self.words, self.filed, self.lengths = edits, words, {}, set()
+        self.looked: dict[tuple[str, int], list[tuple[float, str]]] = {}
         for w in sorted(words):
             if len(w) <= PIECE_WORD + edits:
                 for key in deletions(w, edits):
@@ -108,6 +111,13 @@ class DeleteDictionary:
             return [(0.0, word)]
         if not word or not edits:
             return []
+        if (word, edits) not in self.looked:
+            if len(self.looked) >= LOOKED_WORDS:
+                self.looked.clear()
+            self.looked[word, edits] = self._near(word, edits)
+        return self.looked[word, edits]
+
+    def _near(self, word: str, edits: int) -> list[tuple[float, str]]:
         found = self._long(word) if len(word) > PIECE_WORD else {w for key in deletions(word, edits) for w in self.filed.get(key, ())}
         close = [w for w in found if _plain_edits(word, w, edits) <= edits]
         costs = [(weighted_distance(word, w, edits * 1.3), w) for w in close]
@@ -189,7 +199,9 @@ class Places:
         return list(dict.fromkeys((text, bare)))
 
     def best(self, value: str) -> tuple[float, int, str] | None:
-        found = [(cost, *min(self.of[w])) for form in self.forms(value) for cost, w in self.index.near(form, edits_for(form, self.lengths))]
+        forms = self.forms(value)
+        listed = [f for f in forms if f in self.of]  # nothing is nearer than an entry itself
+        found = [(cost, *min(self.of[w])) for form in listed or forms for cost, w in self.index.near(form, edits_for(form, self.lengths))]
         return min(found, default=None)
 
 

@@ -2,8 +2,8 @@
 
 Each rule is an exact join on a combination of attributes, from the strongest combination to the weakest; what a rule
 resolves is anti-joined before the candidates of the next are formed. Weaker rules also need the place and the taxon to
-agree. Records with a catalogue number are the labels: they run through the passes blind, and the confidence of a rule
-is its precision on those of them that it resolved, with add-one smoothing.
+agree. Records with a catalogue number are the labels: every rule is tried on them blind, and the confidence of a rule
+is its precision on those of them that it resolves, with add-one smoothing.
 """
 
 from __future__ import annotations
@@ -120,8 +120,8 @@ def _meant(rows: list[DataFrame], column: str, reference: DataFrame, entry: str,
     counts = cut_table(values.groupBy("value").agg(F.count("*").alias("n")))
     norm = map_to_canonical(counts, "value", reference, entry, canonical, kind).select("value", F.nullif("canonical_value", F.lit("")).alias("norm"))
     book = cut_table(counts.join(norm, "value").select(F.col("value").alias(column), "norm", "n"))
-    total = book.agg(F.sum("n")).first()[0] or 0
-    return [checked_join(r, book, [column], "left", "n", total).drop(column).withColumnRenamed("norm", column) for r in rows]
+    counted, total = book.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return [checked_join(r, book, [column], "left", "n", total, counted=counted).drop(column).withColumnRenamed("norm", column) for r in rows]
 
 
 def _score() -> Column:
@@ -206,26 +206,30 @@ def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, tax
     deliveries of a sample count together; empty tables give no row.
 
     A pass forms candidates only for what no pass before it has resolved. Samples with a catalogue number are the
-    labels: they run through passes 2 to 7 as if they had none, which measures those rules (see _precision); their own
-    result is that of rule 1. Candidates come from exact joins on at least two attributes and a place; equal places of
+    labels: each of the passes 2 to 7 is tried on them as if they had none, which measures it (see _precision; pass 4
+    without their number); their own result is that of rule 1. Candidates come from exact joins on at least two attributes and a place; equal places of
     one combination are one class before the join.
     """
-    samples, sheets = _meant([samples, sheets], "county", counties, "county_norm", "county_norm", "place")
-    samples, sheets = _meant([samples, sheets], "taxon", taxa, "raw_name_lower", "canonical_packera", "taxon")
     keys = ["surname", "number", "date"]
-    samples = cut_table(samples.select("sample", "pair", "catalog", *keys, "id_surname", "id_number", *[F.col(c).alias(s) for c, s in zip(PLACE, THEIRS, strict=True)]).distinct())
-    sheets = cut_table(sheets.select("catalog", "gathering", *keys, F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "county", "state", "taxon").distinct())
-    known = sheets.groupBy(*keys, *PLACE).agg(F.min("gathering").alias("gathering"))
-
+    samples = cut_table(samples)
     agree = sum((F.coalesce((F.col(f"m_{c}") == F.col(c)).cast("double"), F.lit(0.0)) for c in keys), F.lit(0.0))
     labelled = samples.filter("catalog IS NOT NULL").select("sample", "catalog", *[F.col(c).alias(f"m_{c}") for c in keys])
     labels = cut_table(_best(labelled.join(sheets.select("catalog", "gathering", *keys), "catalog").select("sample", "gathering", agree.alias("score")), "sample").select("sample", "gathering", F.lit(1).alias("rule")))
 
+    mine, theirs = _meant([samples, sheets], "county", counties, "county_norm", "county_norm", "place")
+    mine, theirs = _meant([mine, theirs], "taxon", taxa, "raw_name_lower", "canonical_packera", "taxon")
+    known = theirs.groupBy(*keys, F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "county", "state", "taxon").agg(F.min("gathering").alias("gathering"))
+    known = cut_table(known)
+    samples = mine.select("sample", "pair", *keys, "id_surname", "id_number", *[F.col(c).alias(s) for c, s in zip(PLACE, THEIRS, strict=True)]).distinct()
+    # labelled samples are tested by every rule; all others go on only while no pass has resolved them
+    samples = cut_table(samples.join(labels.select("sample", F.lit(True).alias("tested")), "sample", "left"))
     blind, rest = None, samples
     for rule in range(2, 8):
+        if rule == 4:  # what the rule says where the number is missing
+            rest = rest.withColumn("number", F.when(F.col("tested").isNull(), F.col("number")))
         found = cut_table(candidates_of_rule(rule, rest, known).select("sample", "gathering", F.lit(rule).alias("rule")))
         blind = found if blind is None else blind.unionByName(found)
-        rest = samples.join(blind.select("sample"), "sample", "left_anti")
+        rest = samples.filter("tested IS NULL").join(blind.select("sample"), "sample", "left_anti").unionByName(samples.filter("tested"))
     resolved = labels.unionByName(blind.join(labels.select("sample"), "sample", "left_anti"))
 
     pairs = samples.filter(F.trim("pair") != "").select("sample", "pair").distinct()
@@ -242,7 +246,7 @@ def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, tax
 
 def _precision(labels: DataFrame, blind: DataFrame, twin: DataFrame) -> DataFrame:
     """rule, confidence of the eight rules: (right + 1) / (n + 2). Rules 2 to 7 are judged by the labelled samples they
-    resolved blind, rule 8 by the labelled samples whose replicate is resolved, and rule 1, the label itself, by how
+    resolve blind, rule 8 by the labelled samples whose replicate is resolved, and rule 1, the label itself, by how
     often the strongest other rule, 2, confirms it."""
     label = labels.select("sample", F.col("gathering").alias("label"))
     judged = blind.unionByName(twin).join(label, "sample").groupBy("rule").agg(F.sum((F.col("gathering") == F.col("label")).cast("bigint")).alias("right"), F.count("*").alias("n"))
