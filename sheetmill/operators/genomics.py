@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.genotype import kmers
+from ..session import cut_table
 
 LEAST_READS = 10.0
+#: Samples on each side of a task's pairs, and loci compared at once.
+PAIR_SAMPLES = 128
+PAIR_LOCI = 256
 
 
 def paralog_filter(cells: DataFrame, h_max: float = 0.6, d_max: float = 4.0) -> DataFrame:
@@ -36,17 +44,108 @@ def rescaled_dosage(cells: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(top)).withColumn("dosage", F.col("dosage") / scale).drop("__m")  # one row
 
 
-def allele_sharing(cells: DataFrame, least_share: float = 0.2, least_loci: int = 150) -> DataFrame:
-    """a < b, distance, n_shared: mean absolute dosage difference over shared loci; null below the least shared loci
-    (the smaller of ``least_loci`` and that share of all loci). Pairs meet per locus and are summed before the shuffle;
-    the result has a row for each pair that shares a locus, which is the distance matrix itself."""
-    known = cells.filter("dosage IS NOT NULL").select("sample", "locus", "dosage")
-    n_loci = known.select("locus").distinct().count()
-    need = min(least_loci, max(1, int(least_share * n_loci)))
-    a, b = known.alias("a"), known.alias("b")
-    met = a.join(b, (F.col("a.locus") == F.col("b.locus")) & (F.col("a.sample") < F.col("b.sample")))
-    per = met.groupBy(F.col("a.sample").alias("a"), F.col("b.sample").alias("b")).agg(F.sum(F.abs(F.col("a.dosage") - F.col("b.dosage"))).alias("s"), F.count("*").alias("n_shared"))
-    return per.select("a", "b", F.when(F.col("n_shared") >= need, F.col("s") / F.col("n_shared")).alias("distance"), "n_shared")
+class _Pairs:
+    """Sums of one block of pairs: dosage differences and shared loci, samples of either side in order of arrival."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.at = key, ({}, {})
+        self.s, self.n = np.zeros((8, 8)), np.zeros((8, 8))
+
+    def add(self, rows: pd.DataFrame, sides: list[np.ndarray]) -> None:
+        """``rows`` of one block of loci; ``sides``: the positions of those of the first and the second side."""
+        loci = {x: i for i, x in enumerate(sorted({x for c in rows["cells"] for x in c["locus"]}))}
+        grids = []
+        for at, positions in zip(self.at, sides, strict=True):
+            for name in rows["sample"].iloc[positions]:
+                at.setdefault(name, len(at))
+            grids.append(np.full((len(at), len(loci)), np.nan))
+            for name, c in zip(rows["sample"].iloc[positions], rows["cells"].iloc[positions], strict=True):
+                grids[-1][at[name], [loci[x] for x in c["locus"]]] = c["dosage"]
+        x, y = grids
+        short = max(0, len(x) - self.s.shape[0]), max(0, len(y) - self.s.shape[1])
+        if any(short):
+            grow = [(0, max(k, n) if k else 0) for k, n in zip(short, self.s.shape, strict=True)]
+            self.s, self.n = np.pad(self.s, grow), np.pad(self.n, grow)
+        s, n = self.s[: len(x), : len(y)], self.n[: len(x), : len(y)]
+        n += (~np.isnan(x)).astype(float) @ (~np.isnan(y)).T.astype(float)
+        for k in range(x.shape[1]):
+            s += np.nan_to_num(np.abs(x[:, k, None] - y[None, :, k]))
+
+    def rows(self) -> pd.DataFrame:
+        part, pa, pb = self.key
+        a, b = (np.array(list(side), dtype=object) for side in self.at)
+        i, j = np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij")
+        left, right = a[i.ravel()], b[j.ravel()]
+        first = np.array([x < y for x, y in zip(left, right, strict=True)], bool)
+        keep = first if pa == pb else np.ones(len(first), bool)
+        s, n = self.s[: len(a), : len(b)].ravel(), self.n[: len(a), : len(b)].ravel()
+        return pd.DataFrame({"part": part, "a": np.where(first, left, right)[keep], "b": np.where(first, right, left)[keep], "s": s[keep], "n": n[keep].astype("int64")})
+
+
+def pair_differences(cells: DataFrame, by: str | None = None) -> DataFrame:
+    """part, a < b, s, n: the sum of absolute dosage differences over the n loci that two samples share, for all pairs of
+    samples called at some locus, within each value of ``by`` (one part without).
+
+    Samples are dealt to blocks; a task holds the sums of one pair of blocks and streams through the loci in bounded
+    arrays, so its memory grows neither with the loci nor with the samples."""
+    kind = cells.schema["sample"].dataType.simpleString()
+    part = F.lit(0).cast("bigint") if by is None else F.col(by).cast("bigint")
+    known = cells.filter("dosage IS NOT NULL").select("sample", "locus", F.col("dosage").cast("double").alias("dosage"), part.alias("part"))
+    counts = known.agg(F.approx_count_distinct("sample").alias("s"), F.approx_count_distinct("locus").alias("l")).first()
+    n_blocks, n_loci = max(1, -(-counts["s"] // PAIR_SAMPLES)), max(1, -(-counts["l"] // PAIR_LOCI))
+    held = known.groupBy("part", F.pmod(F.xxhash64("locus"), F.lit(n_loci)).alias("loci"), "sample").agg(F.collect_list(F.struct("locus", "dosage")).alias("c"))
+    held = held.select("part", "loci", "sample", F.struct(F.transform("c", lambda x: x["locus"]).alias("locus"), F.transform("c", lambda x: x["dosage"]).alias("dosage")).alias("cells"))
+    held = held.withColumn("own", F.pmod(F.xxhash64("sample"), F.lit(n_blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    held = held.select("part", F.least("own", "other").alias("pa"), F.greatest("own", "other").alias("pb"), "loci", "own", "sample", "cells")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, key, waiting = None, None, []
+
+        def settle() -> None:
+            rows = pd.concat(waiting)
+            own = rows["own"].to_numpy()
+            sums.add(rows, [np.flatnonzero(own == sums.key[1]), np.flatnonzero(own == sums.key[2])])
+
+        for pdf in batches:
+            edge = (pdf[["part", "pa", "pb", "loci"]].diff().fillna(0) != 0).any(axis=1).to_numpy().nonzero()[0]
+            for lo, hi in zip([0, *edge], [*edge, len(pdf)], strict=True):
+                piece = pdf.iloc[lo:hi]
+                if not len(piece):
+                    continue
+                now = tuple(piece[["part", "pa", "pb", "loci"]].iloc[0])
+                if key is not None and now != key:
+                    settle()
+                    waiting = []
+                    if now[:3] != key[:3]:
+                        yield sums.rows()
+                        sums = None
+                sums, key = sums or _Pairs(now[:3]), now
+                waiting.append(piece)
+        if sums:
+            settle()
+            yield sums.rows()
+
+    order = ["part", "pa", "pb"]
+    return held.repartition(*order).sortWithinPartitions(*order, "loci").mapInPandas(run, f"part bigint, a {kind}, b {kind}, s double, n bigint")
+
+
+def allele_sharing(cells: DataFrame, few: float = 0.2, many: int = 150) -> DataFrame:
+    """a < b, distance, measured, n_shared: mean absolute dosage difference over the loci two samples share, for all
+    pairs. It is measured where they share ``many`` loci, of fewer than 200 loci in all the share ``few`` of them and at
+    least 10. Else it is the mean of the detours over all third samples with a measured distance to both, or where there
+    is none the mean of all measured distances, or 0.25 (measured 0)."""
+    cells = cut_table(cells.filter("dosage IS NOT NULL").select("sample", "locus", "dosage"))
+    n_loci = cells.select("locus").distinct().count()
+    need = many if n_loci >= 200 else max(10, int(few * n_loci))
+    pairs = cut_table(pair_differences(cells).select("a", "b", F.when(F.col("n") >= need, F.col("s") / F.col("n")).alias("d"), F.col("n").alias("n_shared")))
+    known, open_ = pairs.filter("d IS NOT NULL"), pairs.filter("d IS NULL")
+    both = known.select("a", "b", "d").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    first = open_.select("a", "b").join(both.select("a", F.col("b").alias("k"), F.col("d").alias("d1")), "a")
+    detour = first.join(both.select(F.col("a").alias("k"), "b", F.col("d").alias("d2")), ["k", "b"]).groupBy("a", "b").agg(F.avg(F.col("d1") + F.col("d2")).alias("via"))
+    usual = known.agg(F.coalesce(F.avg("d"), F.lit(0.25)).alias("usual"))
+    filled = open_.join(detour, ["a", "b"], "left").crossJoin(F.broadcast(usual))  # one row
+    filled = filled.select("a", "b", F.coalesce("via", "usual").alias("distance"), F.lit(0).alias("measured"), "n_shared")
+    return known.select("a", "b", F.col("d").alias("distance"), F.lit(1).alias("measured"), "n_shared").unionByName(filled)
 
 
 def collapse_replicates(cells: DataFrame, members: DataFrame, order: list[Column]) -> DataFrame:

@@ -304,14 +304,6 @@ def hybrid_index(cells: DataFrame, parents: DataFrame, least: float = 0.5) -> Da
     return j.groupBy("sample").agg(F.avg(share).alias("h"), F.avg(((F.col("dosage") > 0.05) & (F.col("dosage") < 0.95)).cast("double")).alias("het"), F.count("*").alias("n"))
 
 
-def quartet_counts(cells: DataFrame, quartet: tuple[str, str, str, str]) -> DataFrame:
-    """pattern, n: over loci where the four samples are called and split two against two, which pairs agree."""
-    names = dict(zip("abcd", quartet, strict=True))
-    per = cells.filter(F.col("sample").isin(*quartet) & F.col("dosage").isNotNull()).groupBy("locus").agg(*[F.max(F.when(F.col("sample") == v, F.round("dosage").cast("int"))).alias(k) for k, v in names.items()])
-    ok = per.dropna().filter("a + b + c + d = 2")
-    return ok.groupBy(F.when(F.col("a") == F.col("b"), "ab|cd").when(F.col("a") == F.col("c"), "ac|bd").otherwise("ad|bc").alias("pattern")).agg(F.count("*").alias("n"))
-
-
 def quartet_concordance(cells: DataFrame, groups: DataFrame, most: int = 120, combinations: int = 16, least_loci: int = 8, seed: int = 202611) -> DataFrame:
     """quartet, major_topology, cf_12_34, cf_13_24, cf_14_23, n_inform_loci, snaq_gamma_minor, g_test_p,
     delta_aicc_reticulation: quartets of the groups of all samples (``groups``: sample, group), at most ``most`` of them

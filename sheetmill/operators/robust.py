@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_table
+from .genomics import pair_differences
 from .stats import chi2_quantile
 
 #: Rows that one task fits at once. A larger group is fitted in hash parts, which only give the candidates for the one
@@ -288,10 +289,8 @@ def tip_distances(edges: DataFrame, tree: str = "file") -> DataFrame:
 
 def nearest_donors(cells: DataFrame, block: str, width: int = 10) -> DataFrame:
     """a, b, share: how often b is a nearest other sample of a over blocks of loci; equal donors share the block."""
-    known = cells.filter("dosage IS NOT NULL").select("sample", "locus", "dosage", F.col(block).alias("blk"))
-    x, y = known.alias("x"), known.alias("y")
-    met = x.join(y, (F.col("x.locus") == F.col("y.locus")) & (F.col("x.sample") != F.col("y.sample")))
-    d = met.groupBy(F.col("x.blk").alias("blk"), F.col("x.sample").alias("a"), F.col("y.sample").alias("b")).agg(F.round(F.avg(F.abs(F.col("x.dosage") - F.col("y.dosage"))), 9).alias("d"), F.count("*").alias("n")).filter(F.col("n") >= max(1, width // 2))
+    pairs = pair_differences(cells, block).filter(F.col("n") >= max(1, width // 2)).select(F.col("part").alias("blk"), "a", "b", F.round(F.col("s") / F.col("n"), 9).alias("d"))
+    d = cut_table(pairs.unionByName(pairs.select("blk", F.col("b").alias("a"), F.col("a").alias("b"), "d")))
     least = d.groupBy("blk", "a").agg(F.min("d").alias("m"))
     ties = d.join(least, ["blk", "a"]).filter("d = m")
     size = ties.groupBy("blk", "a").agg(F.count("*").alias("k"))

@@ -7,7 +7,7 @@ classes only; the rows themselves never leave the executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,31 +189,75 @@ def kruskal_wallis(rows: DataFrame, value: str, group: str) -> DataFrame:
     return one.select((h / F.nullif(1 - F.col("t") / (F.pow(n, F.lit(3.0)) - n), F.lit(0.0))).alias("h"), "k", n.cast("bigint").alias("n"))
 
 
-def permutation_f(rows: DataFrame, vector: str, group: str, key: str, times: int = 99, seed: int = 42) -> DataFrame:
-    """f, p, times: the trace ratio between and within groups, against relabellings.
-
-    A relabelling deals the labels to the rows in the order of a seeded hash of the unique ``key``; all relabellings
-    run in one pass: per row and relabelling only (relabelling, group, sums) are aggregated. p = (1 + as large) / (1 + times).
-    """
-    base = rows.filter(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(group).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("x"))
-    labels = base.groupBy("g").agg(F.count("*").alias("n")).orderBy("g").collect()  # one row a group
-    n, edges, at = sum(r["n"] for r in labels), [], 0
-    for r in labels:
-        at += r["n"]
-        edges.append((at / n, r["g"]))
-    # a uniform hash dealt by the groups' shares: sizes are right in expectation, as the null of exchangeable labels
-    dealt = base.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times))))
-    u = (F.xxhash64("k", "b", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))) / float(1 << 52)
-    label = F.lit(edges[-1][1])
-    for upper, g in reversed(edges[:-1]):
-        label = F.when(u < upper, g).otherwise(label)
-    dealt = dealt.withColumn("l", F.when(F.col("b") == 0, F.col("g")).otherwise(label))
-    flat = dealt.select("b", "l", F.posexplode("x").alias("i", "v")).groupBy("b", "l", "i").agg(F.sum("v").alias("s"), F.count("*").alias("m"))
-    between = flat.groupBy("b").agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("ss"), F.countDistinct("l").alias("groups"))
-    total = base.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("m")).agg(F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("c"))
-    fs = between.crossJoin(total).withColumn("f", (F.col("ss") - F.col("c")) / (F.col("groups") - 1) / ((F.col("q") - F.col("ss")) / (F.lit(n) - F.col("groups"))))  # one row a relabelling
-    seen = fs.filter("b = 0").select(F.col("f").alias("f0"))
-    return fs.crossJoin(seen).agg(F.first("f0").alias("f"), ((1 + F.count_if((F.col("b") > 0) & (F.col("f") >= F.col("f0")))) / (1 + times)).alias("p"), F.lit(times).alias("times"))
+def _mixed(x: np.ndarray, key: int) -> np.ndarray:
+    x = (x + np.uint64(key & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Where a pseudo-random permutation of 0 … n - 1, one for each ``key``, puts each index: a four-round balanced
+    Feistel network over the next even power of two, applied again to what falls beyond n."""
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out = index.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for r in range(4):
+            left, right = right, left ^ (_mixed(right, key * 4 + r) & mask)
+        out[todo] = left << half | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+#: Numbers that a task holds for the relabellings of one pass.
+PASS_NUMBERS = 8_000_000
+
+
+def permutation_f(rows: DataFrame, vector: str, group: str, key: str, times: int = 999, seed: int = 42) -> DataFrame:
+    """f, p, times: the trace ratio between and within groups, against relabellings; p = (1 + as large) / (1 + times).
+
+    Each relabelling is a true permutation of the labels, so the groups keep their sizes: rows are numbered in the order
+    of the unique ``key`` and a seeded permutation of the numbers deals the labels. A task sums its rows by relabelling
+    and label; passes hold as many relabellings as PASS_NUMBERS allows. Rows without group or vector don't count; fewer
+    than two groups, or no more rows than groups, give nulls."""
+    from .aggregates import running_total
+
+    base = rows.filter(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(key).alias("k"), F.col(group).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("x"), F.lit(1.0).alias("one"))
+    base = running_total(base, "k", "one").select((F.col("total_one") - 1).cast("bigint").alias("i"), "g", "x")
+    sizes = {r["g"]: r["n"] for r in base.groupBy("g").agg(F.count("*").alias("n")).orderBy("g").collect()}  # one row a group
+    n, names = sum(sizes.values()), list(sizes)
+    out = "f double, p double, times int"
+    if len(names) < 2 or n <= len(names):
+        return rows.sparkSession.createDataFrame([(None, None, times)], out)
+    total = base.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    width, q, c = total.agg(F.count("*"), F.sum("q"), F.sum(F.col("s") * F.col("s") / F.lit(n))).first()
+    code, edges, counts = {g: i for i, g in enumerate(names)}, np.cumsum(list(sizes.values())), np.array(list(sizes.values()), float)
+    step = max(1, PASS_NUMBERS // (len(names) * width))
+    squares: dict[int, float] = {}
+    for first in range(0, times + 1, step):
+        turns = range(first, min(times + 1, first + step))
+
+        def partial(batches: Iterator[pd.DataFrame], turns=turns) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((len(turns), len(names), width))
+            for pdf in batches:
+                x, at = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width), pdf["i"].to_numpy()
+                for k, b in enumerate(turns):
+                    label = pdf["g"].map(code).to_numpy() if b == 0 else np.searchsorted(edges, permuted(at, n, seed * 1_000_003 + b), side="right")
+                    one = np.zeros((len(names), len(pdf)))
+                    one[label, np.arange(len(pdf))] = 1.0
+                    sums[k] += one @ x
+            yield pd.DataFrame({"b": list(turns), "s": [v.ravel().tolist() for v in sums]})
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            s = np.sum([np.array(v) for v in pdf["s"]], axis=0).reshape(len(names), width)
+            return pd.DataFrame({"b": [pdf["b"].iloc[0]], "ss": [float((s * s / counts[:, None]).sum())]})
+
+        for r in base.mapInPandas(partial, "b int, s array<double>").groupBy("b").applyInPandas(whole, "b int, ss double").collect():  # one row a relabelling
+            squares[r["b"]] = r["ss"]
+    f = {b: (ss - c) / (len(names) - 1) / ((q - ss) / (n - len(names))) if q > ss else math.inf for b, ss in squares.items()}
+    return rows.sparkSession.createDataFrame([(f[0], (1 + sum(f[b] >= f[0] for b in f if b)) / (1 + times), times)], out)
 
 
 def collinear_prune(rows: DataFrame, columns: list[str], scores: dict[str, float], most: float = 0.7) -> list[str]:
@@ -242,15 +286,54 @@ def schoener_overlap(rows: DataFrame, group: str, value: str, bins: int = 50) ->
     return met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.sum(F.least("x.p", "y.p")).alias("d"), F.sum(F.sqrt(F.col("x.p") * F.col("y.p"))).alias("i"))
 
 
+def _spearman(a: np.ndarray, b: np.ndarray) -> float:
+    rank = lambda x: pd.Series(x).rank().to_numpy()
+    return float(np.corrcoef(rank(a), rank(b))[0, 1])
+
+
 def boyce_index(rows: DataFrame, score: str, present: str, bins: int = 20) -> DataFrame:
-    """rho: Spearman correlation of predicted-to-expected ratio with suitability over equal steps of the score."""
-    known = rows.filter(F.col(score).isNotNull() & F.col(present).isNotNull())
-    span = known.agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.count("*").alias("all"), F.sum(F.col(present).cast("double")).alias("pos"))
-    step = known.crossJoin(span).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)))  # one row
-    ratio = step.groupBy("bin").agg((F.sum(F.col(present).cast("double")) / F.first("pos") / (F.count("*") / F.first("all"))).alias("ratio"))
-    w = Window.orderBy("ratio")  # one row a bin
-    ranked = ratio.select(F.col("bin").cast("double").alias("bin"), (F.rank().over(w) + (F.count("*").over(Window.partitionBy("ratio")) - 1) / 2).alias("r"))
-    return ranked.agg(F.corr("bin", "r").alias("rho"))
+    """rho: Spearman correlation of the predicted-to-expected ratio with suitability, to four places.
+
+    The ratio is that of presences (``present`` = 1) to all rows in ``bins`` overlapping windows a tenth of the range
+    wide (a quarter, and at least six and at most as many windows as presences, below 25 presences). Where fewer than
+    five windows have rows, or their ratios are all equal, windows between every other quantile stand in. Null below two
+    presences or four rows; 0 where the scores or the ratios are all equal. Rows with a null or infinite score, or null
+    presence, don't count. One aggregate of as many counts as windows."""
+    spark = rows.sparkSession
+    s, y = F.col("s"), F.col("y")
+    known = rows.select(F.col(score).cast("double").alias("s"), F.col(present).cast("int").alias("y")).filter(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < math.inf) & y.isNotNull())
+    lo, hi, n_all, n_here = known.agg(F.min("s"), F.max("s"), F.count("*"), F.count_if(y == 1)).first()
+    answer = lambda v: spark.createDataFrame([(v,)], "rho double")
+    if n_here < 2 or n_all < 4:
+        return answer(None)
+    if hi - lo < 1e-8:
+        return answer(0.0)
+
+    def ratios(windows: list[tuple[float, float]]) -> np.ndarray:
+        inside = [s.between(F.lit(a), F.lit(b)) for a, b in windows]
+        got = known.agg(*[F.count_if(w).alias(f"a{i}") for i, w in enumerate(inside)], *[F.count_if(w & (y == 1)).alias(f"p{i}") for i, w in enumerate(inside)]).first()
+        return np.array([(got[f"p{i}"] / n_here) / (got[f"a{i}"] / n_all) if got[f"a{i}"] else np.nan for i in range(len(windows))])
+
+    few = n_here < 25
+    k = min(max(6, n_here), bins) if few else max(5, bins)
+    w = max((hi - lo) / (4.0 if few else 10.0), 1e-4)
+    centres = np.array([lo + 0.5 * w + i * (hi - lo - w) / (k - 1.0) for i in range(k)])
+    ratio = ratios([(m - 0.5 * w, m + 0.5 * w) for m in centres.tolist()])
+    ok = np.isfinite(ratio)
+    flat = lambda r: len(r) < 2 or np.std(r, ddof=1) < 1e-10
+    if ok.sum() < 5 or flat(ratio[ok]):
+        n_values = known.select(F.round("s", 6)).distinct().count()
+        if n_values >= 6:
+            n_q = min(12, max(5, n_values // 4))
+            edges = known.agg(F.percentile("s", F.array(*[F.lit(i / (n_q + 1)) for i in range(n_q + 2)]))).first()[0]
+            other = ratios([(edges[i], edges[i + 2]) for i in range(n_q)])
+            if np.isfinite(other).sum() >= 4 and not flat(other[np.isfinite(other)]):
+                ratio, ok = other, np.isfinite(other)
+                centres = np.array([(edges[i] + edges[i + 2]) / 2 for i in range(n_q)])
+    if ok.sum() < 3 or flat(ratio[ok]):
+        return answer(0.0)
+    rho = _spearman(centres[ok], ratio[ok])
+    return answer(round(rho, 4) if math.isfinite(rho) else 0.0)
 
 
 def variogram(pairs: DataFrame, metres: str, a: str, b: str, step_m: float) -> DataFrame:
@@ -258,42 +341,77 @@ def variogram(pairs: DataFrame, metres: str, a: str, b: str, step_m: float) -> D
     return pairs.groupBy(F.floor(F.col(metres) / step_m).alias("lag")).agg(F.count("*").alias("n"), (F.avg(F.pow(F.col(a) - F.col(b), F.lit(2.0))) / 2).alias("gamma"))
 
 
-def mixture(rows: DataFrame, vector: str, k: int, rounds: int = 50, seed: int = 42) -> tuple[list[float], np.ndarray, np.ndarray, float]:
-    """(weights, means, variances, log-likelihood) of a diagonal Gaussian mixture by expectation-maximisation; each
-    round is one pass of partial sums over the executors. Starts along the first principal axis."""
+@dataclass
+class Mixture:
+    """A fitted diagonal Gaussian mixture; ``entropy`` is that of the rows' shares in the components, over all rows."""
+
+    k: int
+    weights: list[float]
+    means: np.ndarray
+    variances: np.ndarray
+    like: float
+    entropy: float
+    n: float
+
+    @property
+    def bic(self) -> float:
+        """−2 log-likelihood and log n for each free number: smaller is better."""
+        return -2 * self.like + (2 * self.k * self.means.shape[1] + self.k - 1) * math.log(max(self.n, 1))
+
+    @property
+    def icl(self) -> float:
+        """BIC that also charges components that overlap."""
+        return self.bic + 2 * self.entropy
+
+
+def fit_mixtures(rows: DataFrame, vector: str, ks: Iterable[int], rounds: int = 150) -> list[Mixture]:
+    """A mixture for each number of components, by expectation-maximisation until its log-likelihood settles (``rounds``
+    at most). A round is one pass over the rows for all mixtures not settled, with partial sums on the executors only;
+    vectors with a value that is not finite don't count. All start along the first principal axis."""
     axes = principal_axes(rows, vector, 0.0)
     n, mean, scatter = moments(rows, vector)["all"]
-    var = np.maximum(np.diag(scatter) / n, 1e-9)
+    var, p = np.maximum(np.diag(scatter) / n, 1e-9), len(mean)
     spread = np.sqrt(axes.values[0])
-    means = np.array([mean + axes.axes[0] * spread * (2 * (i + 0.5) / k - 1) * 1.5 for i in range(k)])
-    weights, variances, before = np.full(k, 1 / k), np.tile(var, (k, 1)), -math.inf
+    state = {k: (np.full(k, 1 / k), np.array([mean + axes.axes[0] * spread * (2 * (i + 0.5) / k - 1) * 1.5 for i in range(k)]), np.tile(var, (k, 1))) for k in ks}
+    fits: dict[int, Mixture] = {}
     df = rows.select(F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL")
-    like = before
+    moving = dict(state)
     for _ in range(rounds):
-        state = (weights, means, variances)
 
-        def step(batches: Iterator[pd.DataFrame], state: tuple = state) -> Iterator[pd.DataFrame]:
-            w, m, v = state
-            acc = None
+        def step(batches: Iterator[pd.DataFrame], moving: dict = dict(moving)) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
             for pdf in batches:
-                x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), m.shape[1])
-                log = np.log(w) - 0.5 * (np.log(2 * np.pi * v).sum(axis=1) + (((x[:, None, :] - m) ** 2) / v).sum(axis=2))
-                top = log.max(axis=1, keepdims=True)
-                total = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
-                r = np.exp(log - total[:, None])
-                part = np.concatenate([[total.sum()], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel()])
-                acc = part if acc is None else acc + part
-            if acc is not None:
-                yield pd.DataFrame({"i": np.arange(len(acc)), "v": acc})
-
-        sums = np.zeros(1 + k + 2 * k * len(mean))
-        for r in df.mapInPandas(step, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # model-sized
-            sums[r["i"]] = r["v"]
-        like, size = float(sums[0]), np.maximum(sums[1 : 1 + k], 1e-12)
-        first, second = sums[1 + k : 1 + k + k * len(mean)].reshape(k, -1), sums[1 + k + k * len(mean) :].reshape(k, -1)
-        weights, means = size / size.sum(), first / size[:, None]
-        variances = np.maximum(second / size[:, None] - means**2, 1e-9)
-        if abs(like - before) < 1e-6 * abs(like):
+                x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), p)
+                x = x[np.isfinite(x).all(axis=1)]
+                for k, (w, m, v) in moving.items():
+                    log = np.log(w) - 0.5 * (np.log(2 * np.pi * v).sum(axis=1) + (x * x) @ (1 / v).T - 2 * x @ (m / v).T + (m * m / v).sum(axis=1))
+                    top = log.max(axis=1, keepdims=True)
+                    total = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
+                    r = np.exp(log - total[:, None])
+                    unsure = -(r * np.log(np.maximum(r, 1e-300))).sum()
+                    part = np.concatenate([[total.sum(), unsure], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel()])
+                    sums[k] = part + sums.get(k, 0.0)
+            for k, part in sums.items():
+                yield pd.DataFrame({"k": k, "i": np.arange(len(part)), "v": part})
+
+        got = df.mapInPandas(step, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()  # model-sized
+        settled = []
+        for k, (weights, means, variances) in moving.items():
+            sums = got[got["k"] == k].sort_values("i")["v"].to_numpy()
+            size = np.maximum(sums[2 : 2 + k], 1e-12)
+            first, second = (sums[2 + k + j * k * p : 2 + k + (j + 1) * k * p].reshape(k, p) / size[:, None] for j in (0, 1))
+            before, fits[k] = fits.get(k), Mixture(k, weights.tolist(), means, variances, float(sums[0]), float(sums[1]), n)
+            state[k] = (size / size.sum(), first, np.maximum(second - first**2, 1e-9))
+            if before and abs(fits[k].like - before.like) < 1e-6 * abs(fits[k].like):
+                settled.append(k)
+        moving = {k: state[k] for k in moving if k not in settled}
+        if not moving:
             break
-        before = like
-    return weights.tolist(), means, variances, like
+    return [Mixture(k, state[k][0].tolist(), state[k][1], state[k][2], fits[k].like, fits[k].entropy, n) for k in state]
+
+
+def mixture(rows: DataFrame, vector: str, k: int, rounds: int = 150) -> tuple[list[float], np.ndarray, np.ndarray, float]:
+    """(weights, means, variances, log-likelihood) of one mixture of fit_mixtures."""
+    m = fit_mixtures(rows, vector, [k], rounds)[0]
+    return m.weights, m.means, m.variances, m.like
+

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import inference as N
+from ..operators.proximity import usable_point
 from ..session import table
-from .models import _CELL, _cells
+from .models import _CELL, PAIR_LOCI, _cells
 
 
 def q_association(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +53,7 @@ def q_planar_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_demes(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "vouchers").filter("coordinateUncertainty <= 1000 AND decimalLatitude BETWEEN 30 AND 50 AND decimalLongitude BETWEEN -125 AND -100")
+    v = table(spark, d, "vouchers").filter((F.col("coordinateUncertainty") <= 1000) & usable_point(F.col("decimalLatitude"), F.col("decimalLongitude")))
     exsiccata, sheet = F.trim("exsiccatae_key"), F.trim("catalogNumber")
     key = F.when((exsiccata != "") & ~F.lower(exsiccata).isin("na", "none", "unknown"), F.concat(F.lit("EXS__"), exsiccata)).when(sheet != "", F.concat(F.lit("CAT__"), sheet))
     return N.gathering_demes(v, "voucher_id", "decimalLatitude", "decimalLongitude", 10.0, key)
@@ -87,15 +88,10 @@ def q_hybrid_index(spark: SparkSession, d: str) -> DataFrame:
     return N.hybrid_index(cells, parents, 0.2).select("sample", F.round("h", 5).alias("h"), F.round("het", 5).alias("het"), "n")
 
 
-def q_quartet(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d).withColumn("sample", F.col("sample").cast("string")).withColumn("dosage", F.when(F.col("dosage") == 0.5, 1.0).otherwise(F.col("dosage")))
-    return N.quartet_counts(cells, ("1", "2", "3", "4"))
-
-
 def q_quartet_concordance(spark: SparkSession, d: str) -> DataFrame:
     """Quartets of nations over the samples of all suppliers."""
     nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_nationkey").alias("group"))
-    return N.quartet_concordance(_cells(spark, d), nations)
+    return N.quartet_concordance(_cells(spark, d, PAIR_LOCI), nations)
 
 
 def q_ploidy_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -131,5 +127,4 @@ SQL = {
     "latest_reason": "SELECT catalogNumber, last(qc_flag_reason ORDER BY extracted_at, qc_flag_reason) AS qc_flag_reason FROM extracted_leaves WHERE catalogNumber IS NOT NULL AND qc_flag_reason IS NOT NULL GROUP BY 1",
     "differentiation": f"WITH p AS (SELECT sample % 4 AS g, locus, avg(dosage) AS p, count(*) * 2 AS n FROM {_CELL} WHERE dosage IS NOT NULL GROUP BY 1, 2), d AS (SELECT x.g AS a, y.g AS b, avg(CASE WHEN x.g = y.g THEN 2 * x.p * (1 - x.p) * x.n / nullif(x.n - 1, 0) ELSE x.p * (1 - y.p) + y.p * (1 - x.p) END) AS dxy FROM p x JOIN p y ON x.locus = y.locus AND x.g <= y.g GROUP BY 1, 2) SELECT d.a, d.b, round(1 - exp(-greatest(d.dxy - greatest(least(u.dxy, v.dxy), 1e-9), 0) / greatest(least(u.dxy, v.dxy), 1e-9)), 5) AS gdi FROM d JOIN d u ON u.a = d.a AND u.b = d.a JOIN d v ON v.a = d.b AND v.b = d.b WHERE d.a < d.b",
     "hybrid_index": f"WITH f AS (SELECT locus, avg(dosage) FILTER (sample % 4 = 0) AS p1, avg(dosage) FILTER (sample % 4 = 1) AS p2 FROM {_CELL} GROUP BY 1) SELECT sample, round(avg(greatest(0, least(1, (dosage - p1) / (p2 - p1)))), 5) AS h, round(avg((dosage > 0.05 AND dosage < 0.95)::int), 5) AS het, count(*) AS n FROM {_CELL} JOIN f USING (locus) WHERE dosage IS NOT NULL AND abs(p1 - p2) >= 0.2 GROUP BY 1",
-    "quartet": f"WITH c AS (SELECT locus, max(CASE WHEN sample = 1 THEN x END) AS a, max(CASE WHEN sample = 2 THEN x END) AS b, max(CASE WHEN sample = 3 THEN x END) AS c, max(CASE WHEN sample = 4 THEN x END) AS d FROM (SELECT sample, locus, CASE WHEN dosage = 0.5 THEN 1 ELSE dosage::int END AS x FROM {_CELL} WHERE dosage IS NOT NULL) GROUP BY 1) SELECT CASE WHEN a = b THEN 'ab|cd' WHEN a = c THEN 'ac|bd' ELSE 'ad|bc' END AS pattern, count(*) AS n FROM c WHERE a + b + c + d = 2 GROUP BY 1",
 }

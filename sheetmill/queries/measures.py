@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import circular as C, scalar as S
 from ..operators import aggregates as A, selection as T
 from ..operators.components import connected_components
-from ..operators.proximity import haversine_m, near_pairs, nearest_sites
+from ..operators.proximity import near_pairs, nearest_sites, usable_point
 from ..session import table
 
 
@@ -156,7 +156,7 @@ def q_hash_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "vouchers")
-    return v.filter("coordinateUncertainty <= 1000 AND decimalLatitude BETWEEN 30 AND 50 AND decimalLongitude BETWEEN -125 AND -100")
+    return v.filter((F.col("coordinateUncertainty") <= 1000) & usable_point(F.col("decimalLatitude"), F.col("decimalLongitude")))
 
 
 def q_thinning(spark: SparkSession, d: str) -> DataFrame:
@@ -175,19 +175,8 @@ def q_proximity_groups(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(pairs, "voucher_id_a", "voucher_id_b").groupBy("component").agg(F.count("*").alias("n"))
 
 
-def q_idw(spark: SparkSession, d: str) -> DataFrame:
-    """Coordinate uncertainty estimated from the five nearest better-placed sheets within 2 km."""
-    v = _sites(spark, d).select("voucher_id", "decimalLatitude", "decimalLongitude", "coordinateUncertainty")
-    pairs = near_pairs(v, "voucher_id", "decimalLatitude", "decimalLongitude", 2000.0, scale=1.5)
-    metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    both = pairs.select(F.col("voucher_id_a").alias("point"), F.col("voucher_id_b").alias("site"), metres.alias("metres"))
-    both = both.unionByName(both.select(F.col("site").alias("point"), F.col("point").alias("site"), "metres"))
-    out = T.nearest_weighted(v, v.withColumnRenamed("voucher_id", "site"), "voucher_id", "coordinateUncertainty", both)
-    return out.select("voucher_id", F.round("estimate", 4).alias("estimate"), "n_sites")
-
-
 def q_idw_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As idw, from the five nearest within 10 km, the reach of the reference; idw keeps the 2 km of its SQL."""
+    """Coordinate uncertainty estimated from the five nearest other sheets within 10 km."""
     v = _sites(spark, d).select("voucher_id", F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon"), "coordinateUncertainty")
     sites = v.withColumnRenamed("voucher_id", "site")
     near = nearest_sites(v.withColumnRenamed("voucher_id", "point"), sites, 5, 10_000.0)
@@ -207,7 +196,7 @@ QUERIES = {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
 _T = "(SELECT voucher_id, nullif(regexp_extract(lower(determiner_tier), 'gold|silver|bronze'), '') AS truth, CASE WHEN identifiedBy IS NULL THEN 'bronze' WHEN length(identifiedBy) % 3 = 0 THEN 'gold' ELSE 'silver' END AS guess FROM vouchers)"
 _C = f"(SELECT truth, guess, count(*)::double AS n FROM {_T} WHERE truth IS NOT NULL GROUP BY 1, 2)"
 _K = f"SELECT sum(n)::bigint AS n, (sum(n) FILTER (truth = guess) / sum(n) - (SELECT sum(a.n * b.n) FROM (SELECT truth AS k, sum(n) AS n FROM {_C} GROUP BY 1) a JOIN (SELECT guess AS k, sum(n) AS n FROM {_C} GROUP BY 1) b USING (k)) / sum(n) / sum(n)) / (1 - (SELECT sum(a.n * b.n) FROM (SELECT truth AS k, sum(n) AS n FROM {_C} GROUP BY 1) a JOIN (SELECT guess AS k, sum(n) AS n FROM {_C} GROUP BY 1) b USING (k)) / sum(n) / sum(n)) AS kappa FROM {_C}"
-_SITE = "(SELECT * FROM vouchers WHERE coordinateUncertainty <= 1000 AND decimalLatitude BETWEEN 30 AND 50 AND decimalLongitude BETWEEN -125 AND -100)"
+_SITE = "(SELECT * FROM vouchers WHERE coordinateUncertainty <= 1000 AND decimalLatitude BETWEEN -90 AND 90 AND decimalLongitude BETWEEN -180 AND 180 AND NOT (decimalLatitude = 0 AND decimalLongitude = 0))"
 _HAV = "2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians(b.decimalLatitude - a.decimalLatitude) / 2), 2) + cos(radians(a.decimalLatitude)) * cos(radians(b.decimalLatitude)) * pow(sin(radians(b.decimalLongitude - a.decimalLongitude) / 2), 2))))"
 
 SQL = {
@@ -244,7 +233,7 @@ SQL = {
     "hash_sample": "SELECT p_brand, least(count(*), 5) AS n FROM part GROUP BY 1",
     "proximity_groups": f"""WITH RECURSIVE p AS (SELECT a.voucher_id AS x, b.voucher_id AS y FROM {_SITE} a JOIN {_SITE} b ON a.voucher_id <> b.voucher_id AND a.year = b.year AND a.month = b.month AND a.day = b.day AND {_HAV} <= 50),
  c(n, m) AS (SELECT DISTINCT x, x FROM p UNION SELECT p.y, c.m FROM c JOIN p ON p.x = c.n) SELECT component, count(*) AS n FROM (SELECT n, min(m) AS component FROM c GROUP BY 1) GROUP BY 1""",
-    "idw": f"""SELECT voucher_id, round(sum(v * w) / sum(w), 4) AS estimate, count(*) AS n_sites FROM (SELECT *, 1 / greatest(m / 1000, 0.25) ** 2 AS w FROM (SELECT a.voucher_id, b.voucher_id AS site, b.coordinateUncertainty AS v, {_HAV} AS m FROM {_SITE} a JOIN {_SITE} b ON a.voucher_id <> b.voucher_id AND abs(a.decimalLatitude - b.decimalLatitude) < 0.02 AND {_HAV} <= 2000)
+    "idw_whole": f"""SELECT voucher_id, round(sum(v * w) / sum(w), 4) AS estimate, count(*) AS n_sites FROM (SELECT *, 1 / greatest(m / 1000, 0.25) ** 2 AS w FROM (SELECT a.voucher_id, b.voucher_id AS site, b.coordinateUncertainty AS v, {_HAV} AS m FROM {_SITE} a JOIN {_SITE} b ON a.voucher_id <> b.voucher_id AND abs(a.decimalLatitude - b.decimalLatitude) < 0.091 AND {_HAV} <= 10000)
  QUALIFY row_number() OVER (PARTITION BY voucher_id ORDER BY m, site) <= 5) GROUP BY 1""",
     "grid_blocks": f"SELECT \"by\", bx, n, (row_number() OVER (ORDER BY f) - 1) % 5 AS fold FROM (SELECT floor(decimalLatitude * 2)::bigint AS \"by\", floor(decimalLongitude * 2)::bigint AS bx, min(voucher_id) AS f, count(*) AS n FROM {_SITE} GROUP BY 1, 2)",
 }

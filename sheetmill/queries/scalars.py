@@ -176,8 +176,9 @@ SQL = {
  CASE WHEN r LIKE 'v%' THEN 'var. ' WHEN r IN ('subsp','ssp','subspecies') THEN 'subsp. ' WHEN r <> '' THEN 'f. ' END || i AS infra, count(*) AS n FROM (
  SELECT regexp_extract(t, {_PATTERN}, 1) AS g, regexp_extract(t, {_PATTERN}, 2) AS e, regexp_extract(species_raw, '\b(var|variety|subsp|ssp|subspecies|forma|f)\b\.? ([a-z-]{{3,}})', 1) AS r,
  regexp_extract(species_raw, '\b(var|variety|subsp|ssp|subspecies|forma|f)\b\.? ([a-z-]{{3,}})', 2) AS i FROM (SELECT species_raw, regexp_replace(trim(regexp_replace(species_raw, '[×_]', ' ', 'g')), '\s+', ' ', 'g') AS t FROM vouchers)) GROUP BY 1, 2""",
-    "type_ranks": """SELECT type_status, CASE WHEN t IS NULL OR t LIKE '%?%' THEN 0 WHEN t LIKE '%paratype%' THEN 1 WHEN t LIKE '%holotype%' OR t LIKE '%isotype%' THEN 2 ELSE 0 END AS type_rank,
- CASE WHEN t IS NULL OR t LIKE '%?%' THEN 0.0 WHEN t LIKE '%paratype%' THEN 1.0 WHEN t LIKE '%isotype%' THEN 2.0 WHEN t LIKE '%holotype%' THEN 2.2 ELSE 0.0 END::double AS subrank, n FROM (SELECT type_status, lower(trim(type_status)) AS t, count(*) AS n FROM vouchers GROUP BY 1, 2)""",
+    "type_ranks": """SELECT type_status, CASE WHEN no THEN 0 WHEN regexp_matches(t, '\\b(holotype|lectotype|neotype|epitype|isotype|isolectotype|isoneotype)\\b') THEN 2 WHEN regexp_matches(t, '\\b(syntype|isosyntype|paratype|isoparatype|type|cotype)\\b') THEN 1 ELSE 0 END AS type_rank,
+ CASE WHEN no THEN 0.0 WHEN regexp_matches(t, '\\b(holotype|lectotype|neotype|epitype)\\b') THEN 2.2 WHEN regexp_matches(t, '\\b(isotype|isolectotype|isoneotype)\\b') THEN 2.0 WHEN regexp_matches(t, '\\b(syntype|isosyntype)\\b') THEN 1.5 WHEN regexp_matches(t, '\\b(paratype|isoparatype|type|cotype)\\b') THEN 1.0 ELSE 0.0 END::double AS subrank, n
+ FROM (SELECT *, t IS NULL OR regexp_matches(t, '\\bnot\\s+a?\\s*\\w*type\\b|\\bnon[-\\s]?type\\b') AS no FROM (SELECT type_status, lower(type_status) AS t, count(*) AS n FROM vouchers GROUP BY 1, 2))""",
     "sample_code": """SELECT DISTINCT genetic_sample_id, nullif(regexp_extract(genetic_sample_id, '^([A-Z]+)-([A-Z0-9]+)-(\\d+)$', 1), '') AS taxon, nullif(regexp_extract(genetic_sample_id, '^([A-Z]+)-([A-Z0-9]+)-(\\d+)$', 2), '') AS population,
  nullif(regexp_extract(genetic_sample_id, '^([A-Z]+)-([A-Z0-9]+)-(\\d+)$', 3), '') AS serial FROM genomic_samples""",
     "file_token": "SELECT voucher_id, regexp_replace(trim(locality), '[^A-Za-z0-9._-]+', '_', 'g') AS token FROM vouchers",

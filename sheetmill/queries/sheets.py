@@ -75,7 +75,14 @@ def q_primary_duplicates(spark: SparkSession, d: str) -> DataFrame:
 def q_texture(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 60).cast("double").alias("sand"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 31).cast("double").alias("clay"))
     t = H.texture_log_ratios(F.col("sand"), F.col("clay"), F.when(F.col("p_partkey") % 5 == 0, F.lit(20.0)))
-    return p.select("p_partkey", F.round(t["ilr1"], 6).alias("ilr1"), F.round(t["ilr2"], 6).alias("ilr2"), F.round(H.rooting_zone_mean(F.col("sand"), F.col("clay")), 6).alias("zone"))
+    return p.select("p_partkey", t["silt"].alias("silt"), t["ilr1"].alias("ilr1"), t["ilr2"].alias("ilr2"), F.round(H.rooting_zone_mean(F.col("sand"), F.col("clay")), 6).alias("zone"))
+
+
+def q_slope_midpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Map units written from the parts' sizes."""
+    size = F.col("p_size")
+    unit = F.when(size % 6 == 0, F.format_string("Loam, %d to %d percent slopes", size, size + 7)).when(size % 6 == 1, "Stony loam, very steep").when(size % 6 == 2, "Steep land").when(size % 6 == 3, "Silt, nearly level").when(size % 6 == 4, "Rock outcrop").otherwise("Water")
+    return table(spark, d, "part").select("p_partkey", H.slope_midpoint(unit).alias("slope"))
 
 
 def q_heat_load(spark: SparkSession, d: str) -> DataFrame:
@@ -118,10 +125,13 @@ SQL = {
  u AS (SELECT canonical_packera AS taxon, state_norm AS state, county_norm AS county FROM usda_county_ranges), n AS (SELECT DISTINCT u.taxon, a.other_state AS state, a.other_county AS county FROM u JOIN {_ADJ} a ON a.state = u.state AND a.county = u.county WHERE u.county <> '')
  SELECT range_status, count(*) AS n FROM (SELECT CASE WHEN r.state IS NULL OR r.taxon IS NULL OR r.taxon NOT IN (SELECT taxon FROM u) THEN 'unknown' WHEN EXISTS (SELECT 1 FROM u WHERE u.taxon = r.taxon AND u.state = r.state) AND NOT EXISTS (SELECT 1 FROM u WHERE u.taxon = r.taxon AND u.state = r.state AND u.county <> '') THEN 'state_only'
  WHEN EXISTS (SELECT 1 FROM u WHERE u.taxon = r.taxon AND u.state = r.state AND u.county = r.county AND u.county <> '') THEN 'in_range' WHEN EXISTS (SELECT 1 FROM n WHERE n.taxon = r.taxon AND n.state = r.state AND n.county = r.county) THEN 'adjacent' WHEN EXISTS (SELECT 1 FROM u WHERE u.taxon = r.taxon AND u.state = r.state) THEN 'state' ELSE 'out' END AS range_status FROM r) GROUP BY 1""",
-    "texture": """SELECT p_partkey, CASE WHEN c IS NOT NULL AND t IS NOT NULL THEN round(sqrt(0.5) * ln(greatest(0.5, s) / greatest(0.5, c)), 6) END AS ilr1, CASE WHEN c IS NOT NULL AND t IS NOT NULL THEN round(sqrt(2 / 3.0) * ln(sqrt(greatest(0.5, s) * greatest(0.5, c)) / greatest(0.5, t)), 6) END AS ilr2, round(z, 6) AS zone FROM (SELECT p_partkey, sand AS s,
- coalesce(clay, CASE WHEN silt IS NOT NULL THEN greatest(0, 100 - sand - silt) END) AS c, coalesce(silt, CASE WHEN clay IS NOT NULL THEN greatest(0, 100 - sand - clay) END) AS t, CASE WHEN clay IS NOT NULL THEN (5 * sand + 10 * clay) / 15 ELSE sand END AS z
- FROM (SELECT p_partkey, (p_size % 60)::double AS sand, CASE WHEN p_size % 7 <> 0 THEN (p_size % 31)::double END AS clay, CASE WHEN p_partkey % 5 = 0 THEN 20.0::double END AS silt FROM part)) """,
-    "heat_load": f"""SELECT voucher_id, round(exp(-1.467 + 1.582 * cos(la) * cos(sl) - 1.5 * cos(f) * sin(sl) * sin(la) - 0.262 * sin(la) * sin(sl) + 0.607 * sin(f) * sin(sl)), 6) AS heat FROM (SELECT voucher_id, radians(decimalLatitude) AS la, radians(day::double) AS sl, radians(180 - abs(180 - ((month * 30.0 - 225)::double % 360 + 360) % 360)) AS f FROM {_LOC} WHERE month IS NOT NULL AND day IS NOT NULL)""",
+    "texture": """SELECT p_partkey, round(100 * t / (s + c + t), 2) AS silt, round(sqrt(2.0::double / 3) * ln((100 * s / (s + c + t)) / sqrt((100 * t / (s + c + t)) * (100 * c / (s + c + t)))), 4) AS ilr1, round(sqrt(0.5::double) * ln(t / c), 4) AS ilr2, round(z, 6) AS zone FROM (SELECT *, CASE WHEN clay IS NOT NULL THEN greatest(0.5, coalesce(silt, 100 - s - c)) END AS t
+ FROM (SELECT *, CASE WHEN clay IS NOT NULL THEN greatest(0.5, sand) END AS s, CASE WHEN clay IS NOT NULL THEN greatest(0.5, clay) END AS c, CASE WHEN clay IS NOT NULL THEN (5 * sand + 10 * clay) / 15 ELSE sand END AS z
+ FROM (SELECT p_partkey, (p_size % 60)::double AS sand, CASE WHEN p_size % 7 <> 0 THEN (p_size % 31)::double END AS clay, CASE WHEN p_partkey % 5 = 0 THEN 20.0::double END AS silt FROM part)))""",
+    "slope_midpoint": """SELECT p_partkey, CASE WHEN u LIKE '%percent%' THEN p_size + 3.5 WHEN u LIKE '%very steep%' THEN 35.0 WHEN u LIKE '%steep%' THEN 18.0 WHEN u LIKE '%level%' THEN 1.0 WHEN u LIKE '%outcrop%' THEN 6.0 END::double AS slope FROM (SELECT p_partkey, p_size, lower(u) AS u FROM (SELECT p_partkey, p_size,
+ CASE p_size % 6 WHEN 0 THEN 'Loam, ' || p_size || ' to ' || (p_size + 7) || ' percent slopes' WHEN 1 THEN 'Stony loam, very steep' WHEN 2 THEN 'Steep land' WHEN 3 THEN 'Silt, nearly level' WHEN 4 THEN 'Rock outcrop' ELSE 'Water' END AS u FROM part))""",
+    "heat_load": f"""SELECT voucher_id, round(CASE WHEN day < 1e-4 THEN least(1.5, greatest(0.05, exp(-1.467 + 1.582 * cos(la)))) ELSE least(1.5, greatest(0.05, exp(-1.467 + 1.582 * cos(la) * cos(sl) - 1.5 * cos(f) * sin(sl) * sin(la) - 0.262 * sin(la) * sin(sl) + 0.607 * sin(f) * sin(sl)))) END, 6) AS heat
+ FROM (SELECT voucher_id, day, radians(least(60, greatest(15, abs(decimalLatitude)))) AS la, radians(least(85, greatest(0, day::double))) AS sl, abs(pi() - abs(radians((month * 30.0)::double % 360) - radians(225))) AS f FROM {_LOC} WHERE month IS NOT NULL AND day IS NOT NULL)""",
     "habitat_class": "SELECT CASE WHEN regexp_matches(l, 'limestone|dolomite|marl') THEN 'carbonate' WHEN regexp_matches(l, 'serpentin|peridotite') THEN 'ultramafic' WHEN regexp_matches(l, 'lava|basalt|tuff') THEN 'volcanic' WHEN regexp_matches(l, 'granite|gneiss') THEN 'granitic' WHEN regexp_matches(l, 'shale|clay') THEN 'shale' WHEN regexp_matches(l, 'sand|gravel|talus') THEN 'sand' WHEN regexp_matches(l, 'meadow|seep|streambank|peat|snowmelt') THEN 'wet' ELSE 'other' END AS ground, count(*) AS n FROM (SELECT lower(locality) AS l FROM vouchers) GROUP BY 1",
     "chromosome_mentions": r"SELECT doc_id, len(m) AS n, list_min(m) AS first FROM (SELECT doc_id, regexp_extract_all(text, '(\d+ cells of plant \d+)', 1) AS m FROM documents) WHERE len(m) > 0",
     "chromosome_counts": "SELECT DISTINCT genetic_sample_id, CASE WHEN (ploidy_level * 23) % 2 = 0 THEN ploidy_level * 23 // 2 END AS n, ploidy_level * 23 AS n2, CASE WHEN ploidy_level IS NULL THEN NULL WHEN (ploidy_level * 23) % 22 = 0 THEN 22 ELSE 23 END AS base, CASE WHEN (ploidy_level * 23) % 22 = 0 THEN ploidy_level * 23 // 22 ELSE ploidy_level END AS ploidy, CASE WHEN (ploidy_level * 23) % 22 = 0 THEN (ploidy_level * 23 // 22) % 2 ELSE ploidy_level % 2 END AS odd FROM genomic_samples",
