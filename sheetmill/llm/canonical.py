@@ -43,9 +43,13 @@ def fold(text: str) -> str:
 
 def deletions(word: str, edits: int) -> set[str]:
     """The word and all strings left after deleting up to ``edits`` of its characters."""
-    out = {word}
-    for n in range(1, min(edits, len(word)) + 1):
-        out.update("".join(c for i, c in enumerate(word) if i not in gone) for gone in combinations(range(len(word)), n))
+    out, n = {word}, len(word)
+    if edits >= 1:
+        out.update(word[:i] + word[i + 1 :] for i in range(n))
+    if edits >= 2:
+        out.update(word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(n) for j in range(i + 1, n))
+    for k in range(3, min(edits, n) + 1):
+        out.update("".join(c for i, c in enumerate(word) if i not in gone) for gone in combinations(range(n), k))
     return out
 
 
@@ -104,6 +108,10 @@ class DeleteDictionary:
                         found.update(self.filed.get((n, k, word[max(0, lo + move) : max(0, hi + move)]), ()))
         return found
 
+    def nearest(self, word: str, edits: int) -> list[tuple[float, str]]:
+        """As near, but words two edits off only where none is one edit off: those never cost less."""
+        return self.near(word, 1) or self.near(word, edits) if edits > 1 else self.near(word, edits)
+
     def near(self, word: str, edits: int | None = None) -> list[tuple[float, str]]:
         """(cost, word) of the words within ``edits`` edits, exact first."""
         edits = self.edits if edits is None else edits
@@ -126,9 +134,18 @@ class DeleteDictionary:
 
 def _plain_edits(a: str, b: str, most: int) -> int:
     """Edits with adjacent swaps, each counting one; ``most`` + 1 where there are more."""
-    far, n = most + 1, len(b)
-    if abs(len(a) - n) > most:
+    far = most + 1
+    if abs(len(a) - len(b)) > most:
         return far
+    lo, hi = 0, 0  # what both begin and end with needs no edit
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    n = len(b)
+    if not a or not b:
+        return len(a) + n
     before, last = {}, {j: j for j in range(min(n, most) + 1)}
     for i in range(1, len(a) + 1):
         row = {0: i} if i <= most else {}
@@ -168,7 +185,7 @@ class Texts:
 
     def best(self, value: str) -> tuple[float, int, str] | None:
         # another order of the words costs a little, so that the given one wins
-        found = [(cost + (0.05 if k else 0.0), *min(self.of[w])) for k, form in enumerate(self.forms(value)) for cost, w in self.index.near(form, edits_for(form, self.lengths))]
+        found = [(cost + (0.05 if k else 0.0), *min(self.of[w])) for k, form in enumerate(self.forms(value)) for cost, w in self.index.nearest(form, edits_for(form, self.lengths))]
         return min(found, default=None)
 
 
@@ -201,7 +218,7 @@ class Places:
     def best(self, value: str) -> tuple[float, int, str] | None:
         forms = self.forms(value)
         listed = [f for f in forms if f in self.of]  # nothing is nearer than an entry itself
-        found = [(cost, *min(self.of[w])) for form in listed or forms for cost, w in self.index.near(form, edits_for(form, self.lengths))]
+        found = [(cost, *min(self.of[w])) for form in listed or forms for cost, w in self.index.nearest(form, edits_for(form, self.lengths))]
         return min(found, default=None)
 
 

@@ -29,9 +29,8 @@ LEAST_AGREEMENT = 1.5
 
 def catalog_key(c: Column) -> Column:
     """Collection letters and the number without zeros: 'WREN_00012', 'wren 12' and 'WREN:12' are one."""
-    text = F.lower(F.trim(c))
-    pattern = r"^([a-z]+)[^a-z0-9]*0*([0-9]+)$"
-    return F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
+    key = F.regexp_replace(F.lower(F.trim(c)), r"^([a-z]+)[^a-z0-9]*0*([0-9]+)$", "$1$2")
+    return F.when(key.rlike("^[a-z]+[0-9]+$"), key)
 
 
 def number_key(c: Column) -> Column:
@@ -70,11 +69,12 @@ def read_sources(vouchers: DataFrame, samples: DataFrame, zones: DataFrame) -> t
     )
     # written once: the key's patterns are matched once a row, not once for each column made of it
     both = cut_table(v.unionByName(s).join(zones, "state_key", "left")).withColumn("key", F.when(F.col("key").rlike(parts), F.col("key")))
-    number = F.regexp_extract("key", parts, 2)
+    surname, date = F.substring_index("key", "_", 1), F.right(F.col("key"), F.lit(10))
+    number = F.substring(F.col("key"), F.length(surname) + 2, F.length("key") - F.length(surname) - 12)
     place = ["lat", "lon", "county", F.coalesce("state_norm", "state_key").alias("state"), "taxon"]
     keyed = both.filter(F.col("key").isNotNull()).select(
-        F.col("id").alias("catalogNumber"), catalog_key(F.col("catalogNumber")).alias("catalog"), F.col("key").alias("gathering"), F.regexp_extract("key", parts, 1).alias("surname"),
-        F.when(number.rlike("^[0-9]+[a-z]?$"), number).alias("number"), F.regexp_extract("key", parts, 3).alias("date"), *place,
+        F.col("id").alias("catalogNumber"), catalog_key(F.col("catalogNumber")).alias("catalog"), F.col("key").alias("gathering"), surname.alias("surname"),
+        F.when(number.rlike("^[0-9]+[a-z]?$"), number).alias("number"), date.alias("date"), *place,
     )
     free = normalise_timestamps(both.filter(F.col("key").isNull()), "eventDate", "zone_name", "year", "month", "day", "event_norm")
     moment = F.col("event_norm").substr(1, 19).try_cast("timestamp_ntz")
