@@ -13,6 +13,8 @@ from ..session import cut, cut_table
 EARTH_M = 6_371_000.0
 #: A coverage of at most so many cells (about 40 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_CELLS = 200_000
+#: Outlines of up to so many coordinates (8 bytes each) are broadcast.
+BROADCAST_VERTICES = 1_000_000
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
@@ -38,20 +40,16 @@ def _columns_in(band: Column, height: float, reach_rad: float) -> Column:
     return F.greatest(F.lit(1), F.floor(F.lit(2 * math.pi) / span)).cast("int")
 
 
-def near_pairs(points: DataFrame, point_id: str, lat: str, lon: str, metres: float, carry: tuple[str, ...] = (), scale: float = 3.0) -> DataFrame:
-    """All pairs of points at most ``metres`` apart, each once: <id>_a < <id>_b, with lat_a, lon_a, lat_b, lon_b and
-    the ``carry`` columns of both.
+def near_spots(spots: DataFrame, metres: float, scale: float = 3.0) -> DataFrame:
+    """lat_a, lon_a, lat_b, lon_b, each pair once: different places (lat, lon; usable, distinct) at most ``metres`` apart.
 
-    Points fall into cells of ``scale`` times the reach, narrowed with latitude so that the cells of a band stay that
-    wide; each point is also listed in the cells its reach touches in its own band and the one above, and the two
+    Places fall into cells of ``scale`` times the reach, narrowed with latitude so that the cells of a band stay that
+    wide; each place is also listed in the cells its reach touches in its own band and the one above, and the two
     listings meet in an equi-join with an exact distance test. Cells wrap at the antimeridian and a pole is one cell.
-    A crowded cell is split by adaptive skew handling; its own pairs are the result and can't be fewer. Points that
-    usable_point refuses have no pair; equal ids never pair, and repeated rows with one id count once.
     """
     reach = metres / EARTH_M
     height = math.degrees(reach * scale) * (1 + 1e-9)
-    rows = points.filter(usable_point(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull())
-    rows = rows.select(F.col(point_id).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), *[F.col(c).alias(f"c_{c}") for c in carry]).dropDuplicates(["id"])
+    rows = spots.select("lat", "lon", F.struct("lat", "lon").alias("id"))
     band = F.floor((F.col("lat") + 90) / height)
     rows = rows.withColumn("band", band).withColumn("turn", F.pmod((F.col("lon") + 180) / 360, F.lit(1.0)))
 
@@ -71,10 +69,34 @@ def near_pairs(points: DataFrame, point_id: str, lat: str, lon: str, metres: flo
     cells = F.array_distinct(F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.pmod(c, n.cast("bigint")).cast("int")))
     listed = listed.withColumn("col", F.explode(cells)).drop("turn", "reach", "band").withColumnRenamed("to", "band")
     a, b = listed.alias("a"), home.alias("b")
-    # each pair is met from its southern point; at equal latitude from the one with the smaller id
+    # each pair is met from its southern place; at equal latitude from the western one
     order = (F.col("a.lat") < F.col("b.lat")) | ((F.col("a.lat") == F.col("b.lat")) & (F.col("a.id") < F.col("b.id")))
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.col") == F.col("b.col")) & order)
     met = met.filter(haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= metres)
+    return met.select(F.col("a.lat").alias("lat_a"), F.col("a.lon").alias("lon_a"), F.col("b.lat").alias("lat_b"), F.col("b.lon").alias("lon_b"))
+
+
+def near_pairs(points: DataFrame, point_id: str, lat: str, lon: str, metres: float, carry: tuple[str, ...] = (), scale: float = 3.0) -> DataFrame:
+    """All pairs of points at most ``metres`` apart, each once: <id>_a < <id>_b, with lat_a, lon_a, lat_b, lon_b and
+    the ``carry`` columns of both.
+
+    Equal coordinates count as one place while near places are searched (near_spots, which with the points of each place
+    is the result in a form that a crowded place doesn't square); then the places are expanded to their points. A
+    crowded place is split by adaptive skew handling; its own pairs are the result and can't be fewer. Points that
+    usable_point refuses have no pair; equal ids never pair, and repeated rows with one id count once.
+    """
+    rows = points.filter(usable_point(F.col(lat), F.col(lon)) & F.col(point_id).isNotNull())
+    # adding zero makes the two zeros one
+    rows = rows.select(F.col(point_id).alias("id"), (F.col(lat).cast("double") + 0.0).alias("lat"), (F.col(lon).cast("double") + 0.0).alias("lon"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    rows = cut_table(rows.groupBy("id").agg(F.min(F.struct("lat", "lon", *[f"c_{c}" for c in carry])).alias("r")).select("id", "r.*"))
+    near = near_spots(rows.select("lat", "lon").distinct(), metres, scale)
+    side = lambda t: rows.select(F.col("lat").alias(f"lat_{t}"), F.col("lon").alias(f"lon_{t}"), F.struct("id", *[f"c_{c}" for c in carry]).alias(t))
+    # a place is near itself
+    alone = rows.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.struct("id", *[f"c_{c}" for c in carry]).alias("a"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    met = near.join(side("a"), ["lat_a", "lon_a"]).select("lat_a", "lon_a", "a", "lat_b", "lon_b").unionByName(alone)
+    same = (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))
+    met = met.join(side("b"), ["lat_b", "lon_b"]).filter(~same | (F.col("a.id") < F.col("b.id")))
+    met = met.withColumns({t: F.struct(F.col(f"lat_{t}").alias("lat"), F.col(f"lon_{t}").alias("lon"), f"{t}.*") for t in "ab"}).select("a", "b")
     first_is_a = F.col("a.id") < F.col("b.id")
     pick = lambda c: [F.when(first_is_a, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")), F.when(first_is_a, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))]
     out = []
@@ -215,7 +237,7 @@ def containing_region(points: DataFrame, point_id: str, lat: str, lon: str, regi
     point in none has no row. Points with null or unusable coordinates have none; regions may be empty.
 
     Cells wholly inside a region accept a point by the equi-join alone; only points in a boundary cell are tested
-    against the ring. The coverage is broadcast after its size was checked, or else joined by a shuffle.
+    against the ring. Coverage and outlines are broadcast after their size was checked, or else joined by a shuffle.
     """
     cells = cut(coverage(regions, region_id, ring_lat, ring_lon, depth))
     levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # a level is a power of two: few
@@ -225,6 +247,7 @@ def containing_region(points: DataFrame, point_id: str, lat: str, lon: str, regi
     small = cells.count() <= BROADCAST_CELLS
     hit = listed.join(F.broadcast(cells) if small else cells, ["level", "iy", "ix"])
     rings = regions.select(F.col(region_id).cast("string").alias("region"), F.col(ring_lat).alias("ys"), F.col(ring_lon).alias("xs"))
-    edge = hit.filter(~F.col("inside")).join(rings, "region").filter(ring_contains(F.col("lat"), F.col("lon"), F.col("ys"), F.col("xs")))
+    vertices = rings.agg(F.coalesce(F.sum(F.size("ys") + F.size("xs")), F.lit(0))).first()[0]
+    edge = hit.filter(~F.col("inside")).join(F.broadcast(rings) if vertices <= BROADCAST_VERTICES else rings, "region").filter(ring_contains(F.col("lat"), F.col("lon"), F.col("ys"), F.col("xs")))
     found = hit.filter(F.col("inside")).select("id", "region").unionByName(edge.select("id", "region"))
     return found.groupBy(F.col("id").alias(point_id)).agg(F.min("region").alias(region_id))

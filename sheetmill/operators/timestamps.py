@@ -131,7 +131,7 @@ def _iso(instant: Column) -> Column:
 
 
 def normalise_timestamps(
-    rows: DataFrame, raw: str, zone: str, year: str, month: str, day: str, out: str = "event_norm", path: str | None = None
+    rows: DataFrame, raw: str, zone: str, year: str, month: str, day: str, out: str = "event_norm", path: str | None = None, newest: int | None = None
 ) -> DataFrame:
     """``rows`` with ``out``: 'YYYY-MM-DDTHH:MM:SSZ' in UTC where a time of day is given, else 'YYYY-MM-DD', 'YYYY-MM'
     or 'YYYY' as far as the value goes, '' where it gives no valid date.
@@ -139,7 +139,7 @@ def normalise_timestamps(
     ``zone`` is the row's time zone for times without one; where it is null such a time counts as its date alone.
     A local time that occurs twice is the first, one skipped uses the offset before the change. A span counts by its
     first day. ``year``, ``month``, ``day`` decide an open century or order (with them null: the century that makes
-    the year at most the current one, and month before day) and stand in for a blank value. ``path``: a folder that
+    the year at most ``newest``, by default the current one, and month before day) and stand in for a blank value. ``path``: a folder that
     keeps the dictionary between runs; without it the dictionary lives in the shared checkpoint folder for this run.
     Blank values beside a null year give ''. Rows are neither dropped nor repeated; an empty table stays empty. No
     other column is read, and the result's working columns start with two underscores.
@@ -162,7 +162,9 @@ def normalise_timestamps(
     y, m, d = F.col(year).cast("int"), F.col(month).cast("int"), F.col(day).cast("int")
     p = lambda c: F.col(f"__p.{c}")
     two = p("yy")
-    near = F.when(F.pmod(y, F.lit(100)) == two, y).otherwise(F.when(two <= F.pmod(F.year(F.current_date()), F.lit(100)), 2000 + two).otherwise(1900 + two))
+    latest = F.year(F.current_date()) if newest is None else F.lit(newest)
+    century = latest - F.pmod(latest, F.lit(100))
+    near = F.when(F.pmod(y, F.lit(100)) == two, y).otherwise(F.when(century + two <= latest, century + two).otherwise(century + two - 100))
     the_year = F.when(p("yy").isNotNull(), near).otherwise(p("y"))
     a, b = p("a"), p("b")
     day_first = F.when(a > 12, True).when(b > 12, False).when((a == m) & (b == d), False).when((a == d) & (b == m), True).when((a == m) | (b == d), False).when((a == d) | (b == m), True).otherwise(False)

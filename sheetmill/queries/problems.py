@@ -28,13 +28,17 @@ def p7_by_period(spark: SparkSession, d: str) -> DataFrame:
     return orphans_by_period(_references(spark, d))
 
 
+#: Setting that names a folder where the dictionary of timestamps is kept from run to run; unset, a run has its own.
+DICTIONARY = "spark.sheetmill.timestampDictionary"
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     zones = table(spark, d, "state_zones")
     names = zones.select(F.explode(F.array(F.lower("state_norm"), F.lower("state_abbrev"))).alias("state"), "zone_name").distinct()
     rows = table(spark, d, "vouchers").select("voucher_id", "eventDate", "year", "month", "day", F.lower(F.trim("stateProvince")).alias("state"))
     blank = F.col("eventDate").isNull() | (F.trim("eventDate") == "")
     rows = rows.filter((blank & F.col("year").isNotNull()) | (~blank & ~written_date(F.col("eventDate")))).join(names, "state", "left")
-    return normalise_timestamps(rows, "eventDate", "zone_name", "year", "month", "day").select("voucher_id", "event_norm")
+    return normalise_timestamps(rows, "eventDate", "zone_name", "year", "month", "day", path=spark.conf.get(DICTIONARY, None)).select("voucher_id", "event_norm")
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
