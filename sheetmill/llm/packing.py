@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
-from .texts import map_texts
+from ..session import cut_table
+from .texts import kept, map_texts
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -20,22 +20,33 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SHARD_ITEMS = 50_000
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, n_tokens of each text, counted over the whole text; a null text has none. ``tokenizer``: a file of
-    ranked tokens that every worker can read."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+def token_codes(tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> Callable[[str], np.ndarray]:
+    """What turns a text into its token numbers; ``tokenizer``: a file of ranked tokens that every worker can read."""
 
-    def kernel(rows: Iterator[dict]) -> Iterator[dict]:
+    def make() -> object:
         import tiktoken
 
         with open(tokenizer, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        return np.array(kept(f"tokens {tokenizer} {pattern}", make, 4).encode_ordinary(text), np.uint32)
+
+    return encode
+
+
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, n_tokens of each row's text, counted over the whole text; a null text has none."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+    encode = token_codes(tokenizer, pattern)
+
+    def kernel(rows: Iterator[dict]) -> Iterator[dict]:
         ids: list[int] = []
         sizes: list[int] = []
         for r in rows:
             ids.append(r["doc_id"])
-            sizes.append(len(encoder.encode_ordinary(r["text"])) if r["text"] else 0)
+            sizes.append(len(encode(r["text"])) if r["text"] else 0)
             if len(ids) == 4096:
                 yield {"doc_id": ids, "n_tokens": sizes}
                 ids, sizes = [], []
@@ -91,9 +102,9 @@ def fill_containers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A text of at most ``capacity`` tokens is one piece; a longer one fills containers of its own and its rest is packed
     like any text. Packing runs in shards of about ``shard`` items, drawn by a hash of the id, each by the
     sum-of-squares rule in order of the hash; container_id is unique over all shards. A null or empty text is a
-    piece of 0 tokens; rows repeated under one id are one text; an empty table gives none.
+    piece of 0 tokens; rows repeated under one id are one text, the longest; an empty table gives none.
     """
-    sized = cut(token_counts(docs.dropDuplicates([doc_id]) if _repeats(docs, doc_id) else docs, doc_id, text, tokenizer))
+    sized = cut_table(token_counts(docs, doc_id, text, tokenizer).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")))
     shards = max(1, -(-sized.count() // shard))
     full = (F.col("n_tokens") / capacity).cast("bigint")
     rest = F.col("n_tokens") - full * capacity
@@ -112,7 +123,3 @@ def fill_containers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = items.groupBy("shard").applyInPandas(per_shard, "doc_id bigint, piece int, container_id string, first_token bigint, n_tokens bigint")
     return whole.unionByName(shared)
 
-
-def _repeats(docs: DataFrame, doc_id: str) -> bool:
-    """Whether an id occurs twice: one pass over the ids alone, which spares the texts a shuffle."""
-    return not docs.groupBy(doc_id).count().filter("count > 1").isEmpty()

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_table, table
 from .canonical import map_to_canonical
-from .leakage import leaked_passages, leaks
+from .leakage import clean_text, leaked_passages, leaks
 from .linkage import link_samples, read_sources
 from .names import link_names, name_pairs
 from .packing import fill_containers
-from .shared_spans import shared_share
+from .shared_spans import merged_intervals, shared_intervals, shared_share, window_intervals
 from .survivors import gathering_key, surviving_records, tier_rank
 
 FILLED = ("identifiedBy", "type_status", "county", "locality", "decimalLatitude", "decimalLongitude", "coordinateUncertainty", "image_path")
@@ -92,12 +92,28 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
 
 
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with leaked words, without those; null where these are more than half of a document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return clean_text(docs, leaked_passages(docs, table(spark, d, "eval_items"))).filter("leaked_words > 0").select("doc_id", "leaked_words", "clean_text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
     return shared_share(docs, length="n_chars").select("doc_id", "shared_tenths")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found}
+def p10_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal stretches to remove: characters start to stop of a document that occur in another."""
+    return merged_intervals(shared_intervals(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p10_windows(spark: SparkSession, d: str) -> DataFrame:
+    """As p10_intervals, from a row for every window: what p10_intervals is compared with."""
+    return merged_intervals(window_intervals(table(spark, d, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_clean": p9_clean, "p10_found": p10_found, "p10_intervals": p10_intervals, "p10_windows": p10_windows}
 _GRAMS = """SELECT DISTINCT {i}, unnest(list_transform(range(1, len(w) - 18), lambda k: array_to_string(w[k:k + 19], ' '))) AS gram
   FROM (SELECT {i}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {t})"""
 P9_FOUND_SQL = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(i='doc_id', t='documents')}) JOIN ({_GRAMS.format(i='item_id', t='eval_items')}) USING (gram)"
@@ -107,4 +123,11 @@ k AS (SELECT s.h AS h FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
 m AS (SELECT doc_id, n_chars, s.i AS i, lead(s.i) OVER (PARTITION BY doc_id ORDER BY s.i) AS nx FROM w WHERE s.h IN (SELECT h FROM k))
 SELECT doc_id, least(10, floor(10 * sum(least(200, coalesce(nx - i, 200))) / n_chars))::int AS shared_tenths FROM m GROUP BY doc_id, n_chars
 """
-SQL = {"p2_found": P2_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL}
+P10_INTERVALS_SQL = """
+WITH w AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: {'i': i, 'h': hash(substr(text, i, 200))})) AS s FROM documents WHERE length(text) >= 200),
+k AS (SELECT s.h AS h FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, s.i AS i, coalesce(s.i - lag(s.i) OVER (PARTITION BY doc_id ORDER BY s.i) > 200, true)::int AS fresh FROM w WHERE s.h IN (SELECT h FROM k)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m)
+SELECT doc_id, (min(i) - 1)::int AS start, (max(i) + 199)::int AS stop FROM n GROUP BY doc_id, island
+"""
+SQL = {"p2_found": P2_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL, "p10_intervals": P10_INTERVALS_SQL, "p10_windows": P10_INTERVALS_SQL}

@@ -4,12 +4,15 @@ Every window of ``span`` characters of every text is hashed by a rolling polynom
 hash among its shorter substrings; neighbouring windows of one such minimum form a segment, which equal texts cut
 alike wherever they lie. Segments are counted in Spark: one found whole in two records is shared in all its windows.
 Only segments that differ though their minimum is found in several records, that is those at the edges of shared
-spans, are counted window by window. Repeated windows are then merged into maximal intervals.
+spans, are counted window by window. Repeated windows are then merged into maximal intervals. window_intervals counts
+every window as a row of its own instead, with the same result.
+
+Texts are sequences of characters, or of whatever numbers ``encode`` makes of them, such as tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,13 +81,16 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def _codes(text: str) -> np.ndarray:
+def characters(text: str) -> np.ndarray:
+    """The code points of a text."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _segments(text: str, hasher: RollingHash, span: int, seed: int, block: int) -> Iterator[tuple[np.ndarray, ...]]:
+Encode = Callable[[str], np.ndarray]
+
+
+def _segments(codes: np.ndarray, hasher: RollingHash, span: int, seed: int, block: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(minimum, hash of the segment, first window, number of windows) of the text's segments."""
-    codes = _codes(text)
     for lo in range(0, len(codes) - span + 1, block):
         part = codes[lo : lo + block + span - 1]
         hasher.load(part)
@@ -95,29 +101,30 @@ def _segments(text: str, hasher: RollingHash, span: int, seed: int, block: int)
         yield least[first], whole, first + lo, count
 
 
-def segments(docs: DataFrame, span: int = SPAN, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def segments(docs: DataFrame, span: int = SPAN, seed: int = SEED, block: int = BLOCK, encode: Encode = characters) -> DataFrame:
     """doc_id, m, g, start, n: the segments of all texts of ``docs`` (doc_id, text)."""
     arrow = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("g", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def kernel(rows: Iterator[dict]) -> Iterator[dict]:
         hasher = RollingHash()
         for r in rows:
-            if r["text"] is None or len(r["text"]) < span:
+            codes = encode(r["text"] or "")
+            if len(codes) < span:
                 continue
-            for m, g, start, n in _segments(r["text"], hasher, span, seed, block):
+            for m, g, start, n in _segments(codes, hasher, span, seed, block):
                 yield {"doc_id": np.full(len(m), r["doc_id"], np.int64), "m": m.view(np.int64), "g": g.view(np.int64), "start": start.astype(np.int32), "n": n.astype(np.int32)}
 
     return map_texts(docs, kernel, "doc_id bigint, m bigint, g bigint, start int, n int", arrow)
 
 
-def _window_hashes(docs: DataFrame, span: int) -> DataFrame:
+def _window_hashes(docs: DataFrame, span: int, encode: Encode) -> DataFrame:
     """h, g, off, lo, hi: a hash for each window of the segments listed in ``docs`` (text, parts)."""
     arrow = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("off", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def kernel(rows: Iterator[dict]) -> Iterator[dict]:
         hasher = RollingHash()
         for r in rows:
-            codes = _codes(r["text"] or "")
+            codes = encode(r["text"] or "")
             for p in r["parts"]:
                 n, piece = p["n"], codes[p["start"] : p["start"] + p["n"] + span - 1]
                 if len(piece) < n + span - 1:
@@ -130,19 +137,41 @@ def _window_hashes(docs: DataFrame, span: int) -> DataFrame:
     return map_texts(docs, kernel, "h bigint, g bigint, off int, lo bigint, hi bigint", arrow)
 
 
-def shared_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def window_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, block: int = BLOCK, encode: Encode = characters) -> DataFrame:
+    """As shared_intervals, from a row for every window of every text: some ten times the texts' size in the shuffle."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32())])
+
+    def kernel(rows: Iterator[dict]) -> Iterator[dict]:
+        hasher = RollingHash()
+        for r in rows:
+            codes = encode(r["text"] or "")
+            for lo in range(0, len(codes) - span + 1, block):
+                hasher.load(codes[lo : lo + block + span - 1])
+                h = hasher.windows(span).view(np.int64)
+                yield {"doc_id": np.full(len(h), r["doc_id"], np.int64), "h": h, "start": np.arange(lo, lo + len(h), dtype=np.int32)}
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    every = map_texts(rows, kernel, "doc_id bigint, h bigint, start int", arrow)
+    counts = cut_table(every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter(F.col("lo") != F.col("hi")).select("h", "rows"))
+    total = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    hits = checked_join(every, counts, ["h"], "left_semi", "rows", total)
+    return hits.select("doc_id", "start", (F.col("start") + span).alias("stop"))
+
+
+def shared_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, seed: int = SEED, block: int = BLOCK, encode: Encode = characters) -> DataFrame:
     """doc_id, start, stop: stretches of characters, each of ``span`` or more, that occur verbatim in another record.
 
     They may overlap within a record; merge them with shared_share or merged_intervals. Null texts and texts shorter
     than ``span`` share nothing; a text repeated within one record only is not shared; rows repeated under one id are
     one record. Texts are taken whole, long ones in overlapping blocks. Equal 64-bit hashes count as equal text.
+    ``encode`` turns a text into the numbers compared (start and stop then count those), by default its characters.
 
     Segments are written once; everything after works on those whose minimum occurs in two records. Counts are
     partial sums before each shuffle, and lookups broadcast what was counted to be small or else only hot keys, so a
     passage that a third of all records share costs one row a partition.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    every = cut_table(segments(rows, span, seed, block))
+    every = cut_table(segments(rows, span, seed, block, encode))
     minima = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter(F.col("lo") != F.col("hi"))
     minima = cut_table(minima.select("m", "rows"))
     segs = cut_table(checked_join(every, minima, ["m"], "left_semi", "rows", every.count()))
@@ -152,7 +181,7 @@ def shared_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     parts = edges.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "g", "lo", "hi")).alias("parts"), F.count("*").alias("rows"))
     parts = cut_table(parts)
     some = checked_join(rows, parts.select("doc_id", "rows"), ["doc_id"], "left_semi", "rows", parts.count())
-    windows = cut_table(_window_hashes(some.join(parts.drop("rows"), "doc_id").select("text", "parts"), span))
+    windows = cut_table(_window_hashes(some.join(parts.drop("rows"), "doc_id").select("text", "parts"), span, encode))
     twice = windows.groupBy("h").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("times")).filter(F.col("a") != F.col("b"))
     twice = cut_table(twice.select("h", "times"))
     repeated = checked_join(windows.filter(F.col("lo") == F.col("hi")).select("h", "g", "off"), twice, ["h"], "left_semi", "times", windows.count())

@@ -67,3 +67,35 @@ def test_empty_list(spark):
     nothing = spark.createDataFrame([], "e string, c string")
     assert [tuple(r) for r in map_to_canonical(values, "v", nothing, "e", "c", "place").collect()] == [("a", "", None)]
     assert map_to_canonical(values.limit(0), "v", nothing, "e", "c", "place").count() == 0
+
+
+def test_long_words_and_other_lists(spark):
+    """Words of any length are compared whole; any list may be read by words; entries are read like values."""
+    title = "senior vegetation survey coordinator for the northern great basin and the eastern sierra"
+    entries = spark.createDataFrame([(title, "T"), ("Coca-Cola Company", "C"), ("Société Générale", "S"), ("x" * 3000, "X")], "e string, c string")
+    cases = {title.replace("survey", "surevy"): "T", "COCA COLA": "C", "Company, Coca Cola": "C", "societe generale": "S", "x" * 2999 + "y": "X", "x" * 2990: "", "pepsi": "", "!": ""}
+    values = spark.createDataFrame([(v,) for v in cases], "v string")
+    for block in (1, 100):
+        got = {r["v"]: r["canonical_value"] for r in map_to_canonical(values, "v", entries, "e", "c", "text", block, held=1, ignored=("company", "inc")).collect()}
+        assert got == cases
+    place = map_to_canonical(spark.createDataFrame([("Saint Clair Co.",)], "v string"), "v", spark.createDataFrame([("st. clair", "st. clair")], "e string, c string"), "e", "c", "place")
+    assert place.first()["canonical_value"] == "st. clair"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab", min_size=36, max_size=60), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 59)), max_size=2))
+def test_dictionary_finds_long_words(word, edits):
+    typed = list(word)
+    for kind, at in edits:
+        i = at % (len(typed) - 1)
+        if kind == 0:
+            typed.insert(i, "z")
+        elif kind == 1:
+            del typed[i]
+        elif kind == 2:
+            typed[i] = "y"
+        else:
+            typed[i], typed[i + 1] = typed[i + 1], typed[i]
+    typed = "".join(typed)
+    if _plain_edits(typed, word, 2) <= 2:
+        assert word in {w for _, w in DeleteDictionary({word}).near(typed)}

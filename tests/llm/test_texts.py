@@ -5,8 +5,9 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from sheetmill.llm.leakage import SuffixAutomaton, clean_text, leaked_passages, leaks
-from sheetmill.llm.packing import fill_containers, pack
-from sheetmill.llm.shared_spans import shared_intervals, shared_share
+import sheetmill.operators.skew as skew
+from sheetmill.llm.packing import fill_containers, pack, token_codes
+from sheetmill.llm.shared_spans import merged_intervals, shared_intervals, shared_share, window_intervals
 
 LETTERS = "abcdefgh ij\né"
 
@@ -54,6 +55,33 @@ def test_shared_spans_of_one_passage_in_all_records(spark):
     assert shared_share(df.limit(0), span=100, seed=40).count() == 0
 
 
+def _passages(n, seed):
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
+    passage = [text(k) for k in (60, 120, 400)]
+    return {i: text(rng.randrange(0, 200)) + rng.choice(passage)[rng.randrange(0, 30) :] + text(rng.randrange(0, 90)) for i in range(n)}
+
+
+def test_shuffled_lookups_and_all_windows_agree(spark, monkeypatch):
+    """Beyond the size that is broadcast, and with a row for every window, the intervals are the same."""
+    texts = _passages(60, 5) | {100: None, 101: "", 102: "short"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = lambda d: sorted(map(tuple, merged_intervals(d).collect()))
+    want = found(shared_intervals(df, span=40, seed=12))
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    assert found(shared_intervals(df, span=40, seed=12)) == want
+    assert found(window_intervals(df, span=40, block=64)) == want and len(want) > 40
+    assert window_intervals(df.limit(0), span=40).count() == 0
+
+
+def test_spans_of_tokens(spark):
+    encode = token_codes()
+    texts = {1: "alpha beta " * 3 + "the narrow leaves of the basal rosette were glabrous and thick", 2: "unlike these, the narrow leaves of the basal rosette were glabrous and thick, gamma"}
+    spans = merged_intervals(shared_intervals(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), span=6, seed=3, encode=encode)).collect()
+    got = {r["doc_id"]: encode(texts[r["doc_id"]])[r["start"] : r["stop"]].tolist() for r in spans}
+    assert got[1] == got[2] == encode(" the narrow leaves of the basal rosette were glabrous and thick").tolist()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("abc", max_size=14), min_size=1, max_size=5), st.text("abcd", max_size=40), st.integers(2, 5))
 def test_automaton_against_brute_force(items, text, least):
@@ -84,6 +112,31 @@ def test_leaks_and_cleaning(spark):
     assert leaks(df, items.limit(0)).count() == 0 and leaks(df.limit(0), items).count() == 0
 
 
+def test_texts_are_read_once_for_any_number_of_items(spark):
+    """Items in many blocks, one longer than a block, few automata held: one scan of the texts and the same leaks."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    items = {i: [word() for _ in range(40)] for i in range(30)} | {99: [word() for _ in range(400)]}
+    docs = {i: [word() for _ in range(30)] + items[i][:25] + [word()] + items[(i + 1) % 30][5:24] for i in range(30)} | {50: items[99][100:330], 51: items[99][10:29]}
+    frame = lambda d, k: spark.createDataFrame([(i, " ".join(w)) for i, w in d.items()], f"{k} long, text string")
+    found = leaked_passages(frame(docs, "doc_id"), frame(items, "item_id"), block=60, held=2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(30)} | {(50, 99)}
+    covered = {w for r in found.filter("doc_id = 50").collect() for w in range(r["first_word"], r["first_word"] + r["n_words"])}
+    assert covered == set(range(230))
+
+
+def test_cleaning_with_shuffled_spans_and_clashing_columns(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "a b c " * 20 + item + " end", "x"), (2, "clean", "y"), (None, item, "z")], "doc_id long, text string, clean_text string")
+    passages = leaked_passages(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", most)
+        got = {r["doc_id"]: (r["clean_text"], r["leaked_words"]) for r in clean_text(docs, passages).collect()}
+        assert got == {1: ("a b c " * 20 + " end", 30), 2: ("clean", 0), None: (item, 0)}
+    assert clean_text(docs.limit(0), passages).count() == 0
+
+
 def _slow_pack(sizes, capacity):
     bins, out = [], []
     for w in sizes:
