@@ -28,7 +28,7 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, tot
 
 #: A lookup estimated at up to so many bytes is broadcast; a larger one is joined by a shuffle. Held in memory it takes
 #: some three times as much.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def row_bytes(df: DataFrame) -> int:
