@@ -167,6 +167,28 @@ def chi2_quantile(p: float, k: int) -> float:
     return (lo + hi) / 2
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or 1e-300)
+    h = d
+    for m in range(1, 1000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / ((1 + step * d) or 1e-300), (1 + step / c) or 1e-300
+            h *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return h * math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """The probability of an F statistic of at least ``f``."""
+    return 1.0 if f <= 0 else beta_share(d2 / (d2 + d1 * f), d2 / 2, d1 / 2)
+
+
 def average_ranks(rows: DataFrame, value: str) -> DataFrame:
     """(value, n, rank): each distinct value with its average rank from 1; one row a value, ranked over sorted
     partitions."""
@@ -190,22 +212,25 @@ def kruskal_wallis(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
+    """The splitmix64 finaliser of x and a key."""
     x = (x + np.uint64(key & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """Where a pseudo-random permutation of 0 … n - 1, one for each ``key``, puts each index: a four-round balanced
-    Feistel network over the next even power of two, applied again to what falls beyond n."""
-    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
-    mask = (np.uint64(1) << half) - np.uint64(1)
+    """Where a pseudo-random permutation of 0 … n - 1, one for each ``key``, puts each index: an eight-round balanced
+    Feistel network over the next even power of two (256 at least), applied again to what falls beyond n."""
+    half = np.uint64(max(4, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask, top = (np.uint64(1) << half) - np.uint64(1), np.uint64(64) - half
+    keys = [int(_mixed(np.array([key * 8 + r], np.uint64), 0)[0]) for r in range(8)]
     out = index.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] >> half, out[todo] & mask
-        for r in range(4):
-            left, right = right, left ^ (_mixed(right, key * 4 + r) & mask)
+        for k in keys:
+            left, right = right, left ^ (_mixed(right, k) >> top)
         out[todo] = left << half | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
@@ -415,3 +440,90 @@ def mixture(rows: DataFrame, vector: str, k: int, rounds: int = 150) -> tuple[li
     m = fit_mixtures(rows, vector, [k], rounds)[0]
     return m.weights, m.means, m.variances, m.like
 
+
+
+def group_differences(rows: DataFrame, vector: str, group: str, weight: str | None = None) -> DataFrame:
+    """pillai, f, p, wilks, groups, n: a multivariate analysis of variance of the groups' mean vectors, from the groups'
+    moments alone. Nulls for fewer than two groups or too few rows."""
+    per = moments(rows, vector, group, weight)
+    spark, n, k = rows.sparkSession, sum(m[0] for m in per.values()), len(per)
+    schema = "pillai double, f double, p double, wilks double, groups int, n double"
+    width = len(next(iter(per.values()))[1]) if per else 0
+    if k < 2 or n - k <= width:
+        return spark.createDataFrame([(None, None, None, None, k, float(n))], schema)
+    centre = sum(m[0] * m[1] for m in per.values()) / n
+    within = sum(m[2] for m in per.values())
+    between = sum(m[0] * np.outer(m[1] - centre, m[1] - centre) for m in per.values())
+    total = within + between + 1e-12 * np.trace(within) / width * np.eye(width)
+    pillai = float(np.trace(np.linalg.solve(total, between)))
+    wilks = float(np.exp(np.linalg.slogdet(within)[1] - np.linalg.slogdet(total)[1]))
+    s = min(width, k - 1)
+    m, r = (abs(width - k + 1) - 1) / 2, (n - k - width - 1) / 2
+    d1, d2 = s * (2 * m + s + 1), s * (2 * r + s + 1)
+    f = (2 * r + s + 1) / (2 * m + s + 1) * pillai / max(s - pillai, 1e-12)
+    return spark.createDataFrame([(pillai, float(f), f_tail(f, d1, d2), wilks, k, float(n))], schema)
+
+
+def niche_identity(rows: DataFrame, value: str, group: str, key: str, a: str, b: str, bins: int = 50, times: int = 999, seed: int = 42) -> DataFrame:
+    """d, i, p_d, p_i, times: niche overlap of two groups over equal steps of the value's range (Schoener's d and the
+    Hellinger-based i), and how often relabelled rows overlap no more: (1 + as small) / (1 + times). Relabellings are true
+    permutations in the order of the unique ``key``. Nulls unless both groups have rows of different values."""
+    from .aggregates import running_total
+
+    base = rows.filter(F.col(group).cast("string").isin(a, b) & F.col(value).isNotNull()).select(F.col(key).alias("k"), (F.col(group).cast("string") == a).cast("int").alias("g"), F.col(value).cast("double").alias("v"), F.lit(1.0).alias("one"))
+    lo, hi, n, n_a = base.agg(F.min("v"), F.max("v"), F.count("*"), F.coalesce(F.sum("g"), F.lit(0))).first()
+    schema = "d double, i double, p_d double, p_i double, times int"
+    if not n or n_a in (0, n) or hi <= lo:
+        return rows.sparkSession.createDataFrame([(None, None, None, None, times)], schema)
+    kept = running_total(base, "k", "one").select((F.col("total_one") - 1).cast("bigint").alias("i"), "g", F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins)).cast("int").alias("bin"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((times + 1, bins))
+        for pdf in batches:
+            at, step = pdf["i"].to_numpy(), pdf["bin"].to_numpy()
+            for t in range(times + 1):
+                first = pdf["g"].to_numpy() == 1 if t == 0 else permuted(at, n, seed * 1_000_003 + t) < n_a
+                sums[t] += np.bincount(step[first], minlength=bins)
+        yield pd.DataFrame({"t": np.arange(times + 1), "c": sums.tolist()})
+
+    whole = np.zeros(bins)
+    for r in kept.groupBy("bin").agg(F.count("*").alias("n")).collect():  # one row a bin
+        whole[r["bin"]] = r["n"]
+
+    def overlap(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = np.sum([np.array(c) for c in pdf["c"]], axis=0)
+        p, q = one / n_a, (whole - one) / (n - n_a)
+        return pd.DataFrame({"t": [pdf["t"].iloc[0]], "d": [float(np.minimum(p, q).sum())], "i": [float(np.sqrt(p * q).sum())]})
+
+    got = kept.mapInPandas(partial, "t int, c array<double>").groupBy("t").applyInPandas(overlap, "t int, d double, i double").toPandas().set_index("t")  # one row a relabelling
+    share = lambda c: float((1 + (got[c].drop(0) <= got[c][0] + 1e-12).sum()) / (1 + times))
+    return rows.sparkSession.createDataFrame([(float(got["d"][0]), float(got["i"][0]), share("d"), share("i"), times)], schema)
+
+
+def batch_effects(rows: DataFrame, response: str, batch: str, group: str, weight: str | None = None, least: int = 5) -> DataFrame:
+    """df, ss, rss, f, p, partial_eta_sq, n: what the batches (those of at least ``least`` rows) explain of the response
+    beside the groups: the rise in weighted residual squares when the batches are dropped from the additive model. Fitted
+    from the sums of each combination of group and batch. Nulls for fewer than two batches or six rows."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    known = rows.select(F.trim(F.col(batch).cast("string")).alias("b"), F.trim(F.col(group).cast("string")).alias("g"), F.col(response).cast("double").alias("y"), w.alias("w")).filter("b <> '' AND g <> '' AND y IS NOT NULL AND w > 0")
+    cells = known.groupBy("b", "g").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy")).toPandas()  # batches × groups
+    enough = cells.groupby("b")["n"].sum()
+    cells = cells[cells["b"].isin(enough[enough >= least].index)].reset_index(drop=True)
+    n, batches, groups = int(cells["n"].sum()), cells["b"].nunique(), cells["g"].nunique()
+    schema = "df int, ss double, rss double, f double, p double, partial_eta_sq double, n bigint"
+    rest = n - batches - groups + 1
+    if batches < 2 or n < 6 or rest < 1:
+        return rows.sparkSession.createDataFrame([(None, None, None, None, None, None, n)], schema)
+
+    def residual(*factors: str) -> float:
+        x = np.hstack([pd.get_dummies(cells[f]).to_numpy(float) for f in factors])
+        root = np.sqrt(cells["w"].to_numpy())
+        mean = cells["wy"].to_numpy() / cells["w"].to_numpy()
+        fitted = x @ np.linalg.lstsq(x * root[:, None], mean * root, rcond=None)[0]
+        return float(cells["wyy"].sum() - 2 * (fitted * cells["wy"]).sum() + (fitted**2 * cells["w"]).sum())
+
+    rss, without = residual("g", "b"), residual("g")
+    ss = max(0.0, without - rss)
+    f = ss / (batches - 1) / (rss / rest) if rss > 0 else math.inf
+    p = f_tail(f, batches - 1, rest) if math.isfinite(f) else 0.0
+    return rows.sparkSession.createDataFrame([(batches - 1, ss, rss, f, p, ss / (ss + rss) if ss + rss > 0 else 0.0, n)], schema)
