@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -119,46 +117,3 @@ def covered_view(view: DataFrame, cohort: DataFrame, key: str, least: float = 0.
     found, size = wanted.join(view.select(key), key, "left_semi").count(), wanted.count()
     share = found / size if size else 0.0
     return view.join(wanted, key, "left_semi"), share, bool(size) and share >= least
-
-
-def independent_city(county: Column, cities: Iterable[str]) -> Column:
-    """'<Name> City' for a county that is one of the independent ``cities`` (lower case), whatever 'city' and 'independent'
-    are written with it; else the county with single spaces; null for blank."""
-    clean = F.regexp_replace(F.trim(county), r"\s+", " ")
-    bare = F.regexp_replace(F.regexp_replace(clean, r"(?i)\s*\(independent city\)$|\s+independent city$", ""), r"(?i)\s+city$", "")
-    key = F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
-    return F.when(clean != "", F.when(key.isin(*cities), F.concat(F.initcap(key), F.lit(" City"))).otherwise(clean))
-
-
-def city_aliases(keys: Column, cities: Iterable[str], linked: dict[str, str]) -> Column:
-    """An array of 'state|county' keys with both spellings of each independent city of one state ('x', 'x city'), and the
-    city that ``linked`` names for some of them."""
-    state, name = F.lit(next(iter(linked.values())).split("|")[0] if linked else ""), lambda k: F.regexp_replace(F.split_part(k, F.lit("|"), F.lit(2)), r"\s+city$", "")
-    mine = F.filter(keys, lambda k: F.split_part(k, F.lit("|"), F.lit(1)) == state)
-    spelled = F.flatten(F.transform(F.filter(mine, lambda k: name(k).isin(*cities)), lambda k: F.array(F.concat(state, F.lit("|"), name(k)), F.concat(state, F.lit("|"), name(k), F.lit(" city")))))
-    more = F.flatten(F.transform(mine, lambda k: F.coalesce(*[F.when(name(k) == a, F.array(F.lit(b), F.lit(f"{b} city"))) for a, b in linked.items()], F.array().cast("array<string>")))) if linked else F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.concat(keys, spelled, more)))
-
-
-def underscore_label(name: Column, none: tuple[str, ...] = ("na", "nan", "none", "null", "unknown", "other_us", "unassigned_na")) -> Column:
-    """A region's name as one label: runs of other than letters and digits become '_'; null for names of no region."""
-    text = F.trim(name)
-    return F.when(~F.lower(text).isin("", *none), F.nullif(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"), F.lit("_")), F.lit("")))
-
-
-def code_list(text: Column, default: tuple[str, ...]) -> Column:
-    """Codes parted by commas or spaces in upper case, each once; ``default`` for null."""
-    codes = F.filter(F.split(F.upper(text), r"[,\s]+"), lambda x: x != "")
-    return F.when(text.isNull(), F.array(*map(F.lit, default))).otherwise(F.array_distinct(codes))
-
-
-def bare_sample(c: Column) -> Column:
-    """A sample's id without quotes, blanks around it and the ending '_sorted'."""
-    return F.trim(F.regexp_replace(F.trim(F.translate(c, "\"'“”‘’", "")), "_sorted$", ""))
-
-
-def lat_lon(text: Column) -> Column:
-    """struct(lat, lon) of the first two numbers in a text; nulls unless they are within ±90 and ±180."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([-+]?\d+(?:\.\d+)?)")), lambda x: x.cast("double"))
-    ok = (F.size(numbers) >= 2) & F.get(numbers, F.lit(0)).between(-90, 90) & F.get(numbers, F.lit(1)).between(-180, 180)
-    return F.struct(F.when(ok, F.get(numbers, F.lit(0))).alias("lat"), F.when(ok, F.get(numbers, F.lit(1))).alias("lon"))

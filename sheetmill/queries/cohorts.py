@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import scalar as S
 from ..operators import cohorts as C, seasons as Y, stats as M
 from ..session import table
 
@@ -82,26 +83,26 @@ CITIES = ("almouth", "alder", "birch")
 
 
 def q_independent_city(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "vouchers").groupBy("county").agg(F.first(C.independent_city(F.col("county"), CITIES)).alias("city"))
+    return table(spark, d, "vouchers").groupBy("county").agg(F.first(S.independent_city(F.col("county"), CITIES)).alias("city"))
 
 
 def q_underscore_label(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "vouchers").groupBy("locality").agg(F.first(C.underscore_label(F.col("locality"))).alias("label"))
+    return table(spark, d, "vouchers").groupBy("locality").agg(F.first(S.underscore_label(F.col("locality"))).alias("label"))
 
 
 def q_code_list(spark: SparkSession, d: str) -> DataFrame:
     """States as lists of codes."""
-    return table(spark, d, "vouchers").groupBy("stateProvince").agg(F.first(F.array_join(C.code_list(F.col("stateProvince"), ("US", "CA")), "+")).alias("codes"))
+    return table(spark, d, "vouchers").groupBy("stateProvince").agg(F.first(F.array_join(S.code_list(F.col("stateProvince"), ("US", "CA")), "+")).alias("codes"))
 
 
 def q_bare_sample(spark: SparkSession, d: str) -> DataFrame:
     quoted = F.concat(F.lit(" “"), "genetic_sample_id", F.lit("_sorted” "))
-    return table(spark, d, "genomic_samples").filter("genetic_sample_id IS NOT NULL").select("genetic_sample_id", C.bare_sample(quoted).alias("bare")).distinct()
+    return table(spark, d, "genomic_samples").filter("genetic_sample_id IS NOT NULL").select("genetic_sample_id", S.bare_sample(quoted).alias("bare")).distinct()
 
 
 def q_lat_lon(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("N "), F.round("decimalLatitude", 3), F.lit("; "), F.round("decimalLongitude", 3), F.lit(" (map)"))
-    return table(spark, d, "vouchers").filter("abs(decimalLatitude) > 0.01 AND abs(decimalLongitude) > 0.01").select("voucher_id", C.lat_lon(text).alias("p")).select("voucher_id", "p.lat", "p.lon")
+    return table(spark, d, "vouchers").filter("abs(decimalLatitude) > 0.01 AND abs(decimalLongitude) > 0.01").select("voucher_id", S.lat_lon(text).alias("p")).select("voucher_id", "p.lat", "p.lon")
 
 
 def q_batch_effects(spark: SparkSession, d: str) -> DataFrame:

@@ -64,6 +64,13 @@ def cut_table(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the session's Python ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of cut_table that nothing will read again."""
     for t in tables:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.genotype import cell_depths, genotype_dosage
-from ..functions.scalar import text_or_null
+from ..functions.scalar import lat_lon, text_or_null, to_double
 
 #: Heading words of range tables → column names.
 RANGE_HEADINGS = {
@@ -246,3 +246,44 @@ def classify_files(spark: SparkSession, path: str) -> DataFrame:
 def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A table of a relational store, where its driver is on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+#: Headings that field sheets have for each column, the first that a sheet has counts.
+FIELD_HEADINGS = {
+    "sample": ("genetic_sample_id", "sample_id"), "project_id": ("project_id",), "taxon": ("taxon", "scientificname"), "lat": ("decimallatitude", "latitude"), "lon": ("decimallongitude", "longitude"), "lat_lon": ("lat_lon",),
+    "state": ("state", "stateprovince"), "county": ("county",), "date": ("date_collected", "eventdate"), "collector": ("recordedby", "collector"),
+    "number": ("recordnumber", "record_number", "collector_number", "collection_number", "collector_id"), "notes": ("notes",),
+}
+
+
+def read_field_sheets(spark: SparkSession, path: str, headings: dict[str, tuple[str, ...]] = FIELD_HEADINGS) -> DataFrame:
+    """file and the columns of ``headings``, as text without blanks, null for missing: field sheets whose headings differ
+    (case and blanks around them ignored), each file with its own. ``lat`` and ``lon`` are numbers, from their own
+    columns or else from the first two numbers of ``lat_lon``. Files without any known heading give no row."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["text"], strict=True):
+                lines = (text or "").lstrip("﻿").splitlines()
+                if not lines:
+                    continue
+                body = pd.read_csv(io.StringIO("\n".join(lines)), sep=_delimiter(lines[0]), dtype=str, keep_default_na=False, index_col=False, on_bad_lines="skip")
+                have = {str(c).strip().lower(): c for c in body.columns}
+                chosen = {name: next((have[h] for h in other if h in have), None) for name, other in headings.items()}
+                if any(chosen.values()):
+                    yield pd.DataFrame({"file": file, **{n: body[c] if c is not None else None for n, c in chosen.items()}}).astype(object)
+
+    raw = whole_texts(spark, path).mapInPandas(parse, ", ".join(f"`{n}` string" for n in ["file", *headings]))
+    texts = raw.select("file", *[text_or_null(F.col(n)).alias(n) for n in headings])
+    if not {"lat", "lon", "lat_lon"} <= set(headings):
+        return texts
+    own = to_double(F.col("lat")).isNotNull() & to_double(F.col("lon")).isNotNull()
+    both = lat_lon(F.col("lat_lon"))
+    return texts.withColumns({"lat": F.when(own, to_double(F.col("lat"))).otherwise(both["lat"]), "lon": F.when(own, to_double(F.col("lon"))).otherwise(both["lon"])}).drop("lat_lon")
+
+
+def with_overrides(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns they share with ``overrides`` replaced where that has a value for the key."""
+    shared = [c for c in rows.columns if c in overrides.columns and c != key]
+    other = overrides.select(F.col(key), *[F.col(c).alias(f"__o_{c}") for c in shared]).dropDuplicates([key])
+    return rows.join(other, key, "left").select(*[F.coalesce(f"__o_{c}", c).alias(c) if c in shared else F.col(c) for c in rows.columns])

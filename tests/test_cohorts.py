@@ -157,11 +157,11 @@ def test_caps_labels_and_text_forms(spark):
     rows = spark.createDataFrame([(i, "t", "gold", 1.0, False) for i in range(6)] + [(10 + i, "t", "silver", 4.0, i == 0) for i in range(2)] + [(20, "u", "silver", 4.0, False), (21, None, "silver", 4.0, False)], "i int, g string, tier string, w double, pr boolean")
     got = {r["i"]: r["capped_weight"] for r in C.pool_cap(rows, "g", "w", F.col("tier") == "gold", F.col("tier") == "silver", F.col("pr")).collect()}
     assert abs(got[11] - 2.0) < 1e-12 and abs(got[10] - 1.7) < 1e-12 and got[0] == 1.0 and got[20] == got[21] == 4.0
-    assert _value(spark, "lat 40.5, lon -110.25 m", "string", C.lat_lon) == (40.5, -110.25) and _value(spark, "91, 5", "string", C.lat_lon) == (None, None) and _value(spark, None, "string", C.lat_lon) == (None, None)
-    assert _value(spark, "us, ca  us", "string", lambda c: C.code_list(c, ("X",))) == ["US", "CA"] and _value(spark, None, "string", lambda c: C.code_list(c, ("X",))) == ["X"]
-    city = lambda c: C.independent_city(c, ("norfolk", "falls church"))
+    assert _value(spark, "lat 40.5, lon -110.25 m", "string", S.lat_lon) == (40.5, -110.25) and _value(spark, "91, 5", "string", S.lat_lon) == (None, None) and _value(spark, None, "string", S.lat_lon) == (None, None)
+    assert _value(spark, "us, ca  us", "string", lambda c: S.code_list(c, ("X",))) == ["US", "CA"] and _value(spark, None, "string", lambda c: S.code_list(c, ("X",))) == ["X"]
+    city = lambda c: S.independent_city(c, ("norfolk", "falls church"))
     assert [_value(spark, v, "string", city) for v in ("norfolk", "Falls  Church (Independent City)", "NORFOLK CITY", "Bath", " ", None)] == ["Norfolk City", "Falls Church City", "Norfolk City", "Bath", None, None]
-    keys = _value(spark, ["virginia|norfolk", "ohio|norfolk"], "array<string>", lambda c: C.city_aliases(c, ("norfolk",), {"norfolk": "virginia|chesapeake"}))
+    keys = _value(spark, ["virginia|norfolk", "ohio|norfolk"], "array<string>", lambda c: S.city_aliases(c, ("norfolk",), {"norfolk": "virginia|chesapeake"}))
     assert keys == ["ohio|norfolk", "virginia|chesapeake", "virginia|chesapeake city", "virginia|norfolk", "virginia|norfolk city"]
     assert _value(spark, "Loc7_pos12:3.4", "string", C.locus_names)[0] == "Loc7_pos12:3.4" and "Loc7" in _value(spark, "Loc7_pos12:3.4", "string", C.locus_names)
     pairs = spark.createDataFrame([("a", "b", 0.25, None, 1.0), ("a", "c", 0.0, 1.0, 1.0), ("b", "c", 1.0, 1.0, None)], "a string, b string, shape double, ground double, season double")

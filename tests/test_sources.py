@@ -65,3 +65,14 @@ def test_writers(spark, tmp_path, rows):
     assert spark.read.parquet(str(tmp_path / "pts")).count() == 500
     W.write_single_csv(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "one"))
     assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+
+
+def test_field_sheets_with_other_headings(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text("Sample_ID, Collector ,Latitude,longitude,lat_lon\ns1,A. Gray,40.5,-110,\ns2,NA,x,y,\"41, -111\"\n")
+    (tmp_path / "b.tsv").write_text("genetic_sample_id\trecordedBy\nnone\tB\n")
+    (tmp_path / "c.csv").write_text("nothing,known\n1,2\n")
+    (tmp_path / "d.csv").write_text("")
+    df = R.read_field_sheets(spark, str(tmp_path))
+    assert rows(df.select("file", "sample", "collector", "lat", "lon")) == [("a.csv", "s1", "A. Gray", 40.5, -110.0), ("a.csv", "s2", None, 41.0, -111.0), ("b.tsv", None, "B", None, None)]
+    other = spark.createDataFrame([("s1", "H. Gray", None), ("s9", "x", 1.0)], "sample string, collector string, lat double")
+    assert rows(R.with_overrides(df.filter("file = 'a.csv'").select("sample", "collector", "lat"), other, "sample")) == [("s1", "H. Gray", 40.5), ("s2", None, 41.0)]
