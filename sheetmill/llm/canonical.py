@@ -288,30 +288,43 @@ def map_to_canonical(values: DataFrame, value: str, reference: DataFrame, entry:
     entries mean nothing; an empty list leaves every value unmatched. Ties in cost go to the entry more frequent in the
     list, then to the smaller one. Values and entries of any length are compared whole.
     """
+    found = map_kinds(values.select(F.lit("").alias("field"), F.col(value).alias("value")), {"": (reference.select(F.col(entry).alias("entry"), F.col(canonical).alias("meant")), kind)}, block, held, **options)
+    return found.select(F.col("value").alias(value), "canonical_value", "cost")
+
+
+def map_kinds(values: DataFrame, lists: dict[str, tuple[DataFrame, str]], block: int = BLOCK_ENTRIES, held: int = HELD_BLOCKS, **options: object) -> DataFrame:
+    """field, value, canonical_value, cost: as map_to_canonical for the values of several fields (``values``: field, value)
+    in one pass; ``lists`` has each field's list (entry, meant) and how its values are read. Fields without a list give no
+    row."""
     spark: SparkSession = values.sparkSession
-    reader = READERS[kind]
-    distinct = values.filter(F.trim(value) != "").select(F.col(value).alias("value")).distinct()
+    distinct = values.filter((F.trim("value") != "") & F.col("field").isin(*lists)).select("field", "value").distinct()
     # looking words up costs far more than their bytes suggest: spread them over all cores
     distinct = distinct.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    listed = reference.filter((F.trim(entry) != "") & F.col(canonical).isNotNull()).groupBy(F.col(entry).alias("entry"), F.col(canonical).alias("meant")).agg(F.count("*").alias("n"))
-    sent, entries = [], []
-    for r in listed.orderBy("entry", "meant").toLocalIterator():
-        entries.append((r["entry"], r["meant"], r["n"]))
-        if len(entries) == block:
-            sent.append(spark.sparkContext.broadcast(entries))
-            entries = []
-    if entries:
-        sent.append(spark.sparkContext.broadcast(entries))
-    key = uuid.uuid4().hex
+    sent: dict[str, list] = {}
+    for field, (reference, _) in lists.items():
+        listed = reference.filter((F.trim("entry") != "") & F.col("meant").isNotNull()).groupBy("entry", "meant").agg(F.count("*").alias("n"))
+        sent[field], entries = [], []
+        for r in listed.orderBy("entry", "meant").toLocalIterator():
+            entries.append((r["entry"], r["meant"], r["n"]))
+            if len(entries) == block:
+                sent[field].append(spark.sparkContext.broadcast(entries))
+                entries = []
+        if entries:
+            sent[field].append(spark.sparkContext.broadcast(entries))
+    key, kinds = uuid.uuid4().hex, {field: kind for field, (_, kind) in lists.items()}
+
+    def best_of(field: str, values: list[str]) -> list[tuple[float, int, str] | None]:
+        best: list = [None] * len(values)
+        for k, part in enumerate(sent[field]):
+            book = kept(f"{key}-{field}-{k}", lambda part=part: READERS[kinds[field]](part.value, **options), held)
+            best = [min((x for x in pair if x is not None), default=None) for pair in zip(best, map(book.best, values), strict=True)]
+        return best
 
     def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            best: list = [None] * len(pdf)
-            for k, part in enumerate(sent):
-                book = kept(f"{key}-{k}", lambda part=part: reader(part.value, **options), held)
-                found = [book.best(v) for v in pdf["value"]]
-                best = [min((x for x in pair if x is not None), default=None) for pair in zip(best, found, strict=True)]
-            yield pd.DataFrame({"value": pdf["value"], "canonical_value": [b[2] if b else "" for b in best], "cost": [b and b[0] for b in best]}).astype({"cost": "float64"})
-
-    found = distinct.mapInPandas(lookup, "value string, canonical_value string, cost double")
-    return found.select(F.col("value").alias(value), "canonical_value", F.when(~F.isnan("cost"), F.col("cost")).alias("cost"))
+            for field, part in pdf.groupby("field"):
+                best = best_of(field, part["value"].tolist())
+                yield pd.DataFrame({"field": field, "value": part["value"], "canonical_value": [b[2] if b else "" for b in best], "cost": [b and b[0] for b in best]}).astype({"cost": "float64"})
+
+    found = distinct.mapInPandas(lookup, "field string, value string, canonical_value string, cost double")
+    return found.withColumn("cost", F.when(~F.isnan("cost"), F.col("cost")))

@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from ..operators.skew import checked_join
 from ..operators.timestamps import normalise_timestamps
 from ..session import cut_table
-from .canonical import map_to_canonical
+from .canonical import map_kinds
 from .names import parse_name
 from .survivors import gathering_key
 
@@ -113,15 +113,20 @@ def _stems(surname: Column) -> Column:
     return F.array_distinct(F.concat(F.array(surname), cuts))
 
 
-def _meant(rows: list[DataFrame], column: str, reference: DataFrame, entry: str, canonical: str, kind: str) -> list[DataFrame]:
-    """``rows`` with ``column`` replaced by what it means of the list (null: none of it); every distinct value of all
-    of them is looked up once."""
-    values = reduce(DataFrame.unionByName, [r.select(F.col(column).alias("value")) for r in rows]).filter("value IS NOT NULL")
-    counts = cut_table(values.groupBy("value").agg(F.count("*").alias("n")))
-    norm = map_to_canonical(counts, "value", reference, entry, canonical, kind).select("value", F.nullif("canonical_value", F.lit("")).alias("norm"))
-    book = cut_table(counts.join(norm, "value").select(F.col("value").alias(column), "norm", "n"))
-    counted, total = book.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return [checked_join(r, book, [column], "left", "n", total, counted=counted).drop(column).withColumnRenamed("norm", column) for r in rows]
+def _meant(rows: list[DataFrame], lists: dict[str, tuple[DataFrame, str]]) -> list[DataFrame]:
+    """``rows`` with the columns of ``lists`` replaced by what they mean of their list (null: none of it); every distinct
+    value of all of them is looked up once, in one pass."""
+    typed = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in lists])).alias("v")
+    values = reduce(DataFrame.unionByName, [r.select(typed).select("v.*") for r in rows]).filter("value IS NOT NULL")
+    counts = cut_table(values.groupBy("field", "value").agg(F.count("*").alias("n")))
+    norm = map_kinds(counts, lists).select("field", "value", F.nullif("canonical_value", F.lit("")).alias("norm"))
+    book = cut_table(counts.join(norm, ["field", "value"]))
+    sizes = {r["field"]: (r["rows"], r["total"]) for r in book.groupBy("field").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).collect()}  # one row a field
+    for c in lists:
+        counted, total = sizes.get(c, (0, 0))
+        one = book.filter(F.col("field") == c).select(F.col("value").alias(c), "norm", "n")
+        rows = [checked_join(r, one, [c], "left", "n", total, counted=counted).drop(c).withColumnRenamed("norm", c) for r in rows]
+    return rows
 
 
 def _score() -> Column:
@@ -207,8 +212,8 @@ def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, tax
 
     A pass forms candidates only for what no pass before it has resolved. Samples with a catalogue number are the
     labels: each of the passes 2 to 7 is tried on them as if they had none, which measures it (see _precision; pass 4
-    without their number); their own result is that of rule 1. Candidates come from exact joins on at least two attributes and a place; equal places of
-    one combination are one class before the join.
+    without their number); their own result is that of rule 1. Candidates come from exact joins on at least two attributes;
+    equal places of one combination are one class before the join.
     """
     keys = ["surname", "number", "date"]
     samples = cut_table(samples)
@@ -216,8 +221,9 @@ def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, tax
     labelled = samples.filter("catalog IS NOT NULL").select("sample", "catalog", *[F.col(c).alias(f"m_{c}") for c in keys])
     labels = cut_table(_best(labelled.join(sheets.select("catalog", "gathering", *keys), "catalog").select("sample", "gathering", agree.alias("score")), "sample").select("sample", "gathering", F.lit(1).alias("rule")))
 
-    mine, theirs = _meant([samples, sheets], "county", counties, "county_norm", "county_norm", "place")
-    mine, theirs = _meant([mine, theirs], "taxon", taxa, "raw_name_lower", "canonical_packera", "taxon")
+    listed = lambda df, entry, meant: df.select(F.col(entry).alias("entry"), F.col(meant).alias("meant"))
+    lists = {"county": (listed(counties, "county_norm", "county_norm"), "place"), "taxon": (listed(taxa, "raw_name_lower", "canonical_packera"), "taxon")}
+    mine, theirs = _meant([samples, sheets], lists)
     known = theirs.groupBy(*keys, F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "county", "state", "taxon").agg(F.min("gathering").alias("gathering"))
     known = cut_table(known)
     samples = mine.select("sample", "pair", *keys, "id_surname", "id_number", *[F.col(c).alias(s) for c, s in zip(PLACE, THEIRS, strict=True)]).distinct()

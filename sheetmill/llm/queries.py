@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from .canonical import map_to_canonical
+from .canonical import map_kinds
 from .leakage import clean_text, leaked_passages, leaks
 from .linkage import link_samples, read_sources
 from .names import link_names, name_pairs
@@ -51,15 +53,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     vouchers = table(spark, d, "vouchers")
     taxa = table(spark, d, "taxon_synonyms")
     places = table(spark, d, "usda_county_ranges").filter(F.trim("county_norm") != "")
-    out = None
-    for field, reference, entry, canonical, kind in (("species_raw", taxa, "raw_name_lower", "canonical_packera", "taxon"), ("county", places, "county_norm", "county_norm", "place")):
-        typed = vouchers.select(F.col(field).alias("raw_value")).filter(F.trim("raw_value") != "").distinct()
-        known = reference.select(F.col(entry).alias("known")).distinct()
-        open_values = typed.join(known, F.lower(F.trim("raw_value")) == F.col("known"), "left_anti")
-        listed = reference.select(F.col(entry).alias("entry"), F.col(canonical).alias("meant"))
-        found = map_to_canonical(open_values, "raw_value", listed, "entry", "meant", kind).select(F.lit(field).alias("field_name"), "raw_value", "canonical_value")
-        out = found if out is None else out.unionByName(found)
-    return out
+    listed = lambda df, entry, meant: df.select(F.col(entry).alias("entry"), F.col(meant).alias("meant"))
+    lists = {"species_raw": (listed(taxa, "raw_name_lower", "canonical_packera"), "taxon"), "county": (listed(places, "county_norm", "county_norm"), "place")}
+    typed = vouchers.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in lists])).alias("v")).select("v.*").filter(F.trim("value") != "").distinct()
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(f).alias("field"), F.col("entry").alias("key")) for f, (df, _) in lists.items()]).distinct()
+    open_values = typed.withColumn("key", F.lower(F.trim("value"))).join(known, ["field", "key"], "left_anti").select("field", "value")
+    return map_kinds(open_values, lists).select(F.col("field").alias("field_name"), F.col("value").alias("raw_value"), "canonical_value")
 
 
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +71,7 @@ def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     links, sheets = _links(spark, d)
-    return links.join(sheets.select("gathering", "catalogNumber").distinct(), "gathering").select(F.col("sample").alias("genetic_sample_id"), F.col("catalogNumber").alias("catalog_number")).distinct()
+    return links.join(sheets.select("gathering", "catalogNumber"), "gathering").select(F.col("sample").alias("genetic_sample_id"), F.col("catalogNumber").alias("catalog_number")).distinct()
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
