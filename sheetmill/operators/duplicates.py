@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
 from .components import connected_components
+from .inference import planar_clusters
 from .proximity import near_pairs
 
 
@@ -59,3 +60,27 @@ def sheet_fingerprints(vouchers: DataFrame) -> DataFrame:
     latest = vouchers.filter("catalogNumber IS NOT NULL").groupBy("catalogNumber").agg(F.max_by(F.struct("recordedBy", "recordNumber", "eventDate", "year", "month", "day", "decimalLatitude", "decimalLongitude", "species_raw", "type_status", "determiner_tier", "institutionCode", "image_path"), F.struct("updated_at", "voucher_id")).alias("v"))
     v = latest.select("catalogNumber", "v.*")
     return v.select("catalogNumber", S.first_collector(F.col("recordedBy")).alias("collector"), S.record_number(F.col("recordNumber")).alias("number"), S.event_day(F.col("eventDate"), F.col("year"), F.col("month"), F.col("day")).alias("day"), F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon"), "species_raw", "type_status", "determiner_tier", "institutionCode", "image_path")
+
+
+def merge_split_plants(plants: DataFrame, leaves: DataFrame, sheet: str, plant: str, leaf: str, x: str, y: str, measures: tuple[str, ...], reach: Column) -> DataFrame:
+    """``leaves`` with ``merged_plant`` and ``merged_leaf``: plants of a sheet whose crowns chain within ``reach`` are one
+    falsely split plant, whose leaves move to the one with most leaves (the smaller of equals) and are numbered on
+    behind its own, so that no number occurs twice.
+
+    Stubs, plants without leaves and without any of ``measures`` on a sheet where another plant has leaves, join
+    nothing. Plants without coordinates stay alone; leaves of unknown plants keep theirs; leaves without a sheet or
+    plant stay without. Repeated plants count once."""
+    key, counts = [sheet, plant], leaves.dropna(subset=[sheet, plant]).groupBy(sheet, plant).agg(F.count("*").alias("__n"))
+    empty = F.lit(True)
+    for m in measures:
+        empty = empty & F.col(m).isNull()
+    known = plants.dropna(subset=key).join(counts, key, "left")
+    stubs = known.filter(F.col("__n").isNull() & empty).select(*key).join(counts.select(sheet), sheet, "left_semi")
+    kept = plants.dropna(subset=key).join(stubs, key, "left_anti")
+    groups = planar_clusters(kept, sheet, plant, x, y, reach).select(sheet, plant, "cluster").distinct().join(counts, key, "left")
+    best = Window.partitionBy(sheet, "cluster").orderBy(F.coalesce("__n", F.lit(0)).desc(), plant)
+    hubs = groups.select(sheet, plant, F.first(plant).over(best).alias("__hub"))
+    moved = leaves.join(hubs, key, "left").withColumn("merged_plant", F.coalesce("__hub", plant))
+    order = Window.partitionBy(sheet, "merged_plant").orderBy((F.col("merged_plant") != F.col(plant)).cast("int"), plant, leaf, *[c for c in leaves.columns if c not in (sheet, plant, leaf)])
+    number = F.when(F.col(sheet).isNotNull() & F.col(plant).isNotNull(), F.row_number().over(order))
+    return moved.select(*leaves.columns, "merged_plant", number.alias("merged_leaf"))

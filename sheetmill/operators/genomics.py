@@ -129,14 +129,16 @@ def pair_differences(cells: DataFrame, by: str | None = None) -> DataFrame:
     return held.repartition(*order).sortWithinPartitions(*order, "loci").mapInPandas(run, f"part bigint, a {kind}, b {kind}, s double, n bigint")
 
 
-def allele_sharing(cells: DataFrame, few: float = 0.2, many: int = 150) -> DataFrame:
+def allele_sharing(cells: DataFrame, few: float = 0.2, least: int | None = None) -> DataFrame:
     """a < b, distance, measured, n_shared: mean absolute dosage difference over the loci two samples share, for all
-    pairs. It is measured where they share ``many`` loci, of fewer than 200 loci in all the share ``few`` of them and at
-    least 10. Else it is the mean of the detours over all third samples with a measured distance to both, or where there
+    pairs. It is measured where they share 150 loci, of fewer than 200 loci in all the share ``few`` of them and at least 10
+    (with ``least`` given: so many loci, or that share of all where it is less). Else it is the mean of the detours over all third samples with a measured distance to both, or where there
     is none the mean of all measured distances, or 0.25 (measured 0)."""
     cells = cut_table(cells.filter("dosage IS NOT NULL").select("sample", "locus", "dosage"))
     n_loci = cells.select("locus").distinct().count()
-    need = many if n_loci >= 200 else max(10, int(few * n_loci))
+    need = 150 if n_loci >= 200 else max(10, int(few * n_loci))
+    if least is not None:
+        need = min(least, max(1, int(few * n_loci)))
     pairs = cut_table(pair_differences(cells).select("a", "b", F.when(F.col("n") >= need, F.col("s") / F.col("n")).alias("d"), F.col("n").alias("n_shared")))
     known, open_ = pairs.filter("d IS NOT NULL"), pairs.filter("d IS NULL")
     both = known.select("a", "b", "d").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))

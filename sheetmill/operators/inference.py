@@ -272,8 +272,9 @@ def align(a: str, b: str, band: int = 50, match: int = 1, miss: int = -1, gap: i
 
 @F.pandas_udf(DoubleType())
 def identity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal columns in the banded alignment of two sequences."""
-    return pd.Series([None if x is None or y is None else align(x, y)[1] for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Share of equal columns in the alignment of two sequences: 2 for a match, −1 for a mismatch, −2 for a gap, within a
+    band of 80, or 32 more than their lengths differ by."""
+    return pd.Series([None if x is None or y is None else align(x, y, max(80, abs(len(x) - len(y)) + 32), 2, -1, -2)[1] for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def divergence(cells: DataFrame, members: DataFrame) -> DataFrame:

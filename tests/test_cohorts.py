@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetmill.functions import habitat as H, scalar as S
 from sheetmill.operators import cohorts as C, genomics as Q, seasons as Y, stats as M
+from sheetmill.operators.duplicates import merge_split_plants
 from sheetmill.operators.proximity import near_pairs, near_spots
 from sheetmill.session import shared_folder
 
@@ -191,3 +192,14 @@ def test_no_temporary_folder_on_a_cluster():
     Fake.sparkContext = Fake
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Fake)
+
+
+def test_split_plants_are_merged(spark):
+    plants = [("s", 1, 0.0, 0.0, 5.0), ("s", 2, 1.0, 0.0, None), ("s", 3, 2.0, 0.0, 7.0), ("s", 4, 50.0, 0.0, 9.0), ("s", 5, None, None, None), ("t", 1, 0.0, 0.0, None), (None, 1, 0.0, 0.0, 1.0), ("s", 1, 0.0, 0.0, 5.0)]
+    leaves = [(1, "s", 1, 1), (2, "s", 3, 1), (3, "s", 3, 2), (4, "s", 4, 1), (5, "s", 9, 1), (6, None, 1, 1), (7, "t", None, 1)]
+    df = merge_split_plants(spark.createDataFrame(plants, "sheet string, plant int, x double, y double, h double"), spark.createDataFrame(leaves, "id int, sheet string, plant int, leaf int"), "sheet", "plant", "leaf", "x", "y", ("h",), F.lit(1.5))
+    got = {r["id"]: (r["merged_plant"], r["merged_leaf"]) for r in df.collect()}
+    # plant 2 is a stub between 1 and 3: without it they are not chained
+    assert got == {1: (1, 1), 2: (3, 1), 3: (3, 2), 4: (4, 1), 5: (9, 1), 6: (1, None), 7: (None, None)}
+    wide = merge_split_plants(spark.createDataFrame(plants, "sheet string, plant int, x double, y double, h double"), spark.createDataFrame(leaves, "id int, sheet string, plant int, leaf int"), "sheet", "plant", "leaf", "x", "y", ("h",), F.lit(2.5))
+    assert {r["id"]: (r["merged_plant"], r["merged_leaf"]) for r in wide.collect() if r["id"] < 4} == {2: (3, 1), 3: (3, 2), 1: (3, 3)}
