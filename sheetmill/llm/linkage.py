@@ -27,10 +27,16 @@ NEAR_DEGREES = 0.03
 LEAST_AGREEMENT = 1.5
 
 
+_LETTERS, _DIGITS, _BETWEEN = "abcdefghijklmnopqrstuvwxyz", "0123456789", " _-–.:;,|/\\#()[]*'\""
+
+
 def catalog_key(c: Column) -> Column:
     """Collection letters and the number without zeros: 'WREN_00012', 'wren 12' and 'WREN:12' are one."""
-    key = F.regexp_replace(F.lower(F.trim(c)), r"^([a-z]+)[^a-z0-9]*0*([0-9]+)$", "$1$2")
-    return F.when(key.rlike("^[a-z]+[0-9]+$"), key)
+    text = F.lower(F.trim(c))
+    letters, digits = F.rtrim(text, F.lit(f"{_DIGITS}{_BETWEEN}")), F.ltrim(text, F.lit(f"{_LETTERS}{_BETWEEN}"))
+    number = F.ltrim(digits, F.lit("0"))
+    whole = (letters != "") & (F.translate(letters, _LETTERS, "") == "") & (digits != "") & (F.translate(digits, _DIGITS, "") == "")
+    return F.when(whole, F.concat(letters, F.when(number == "", "0").otherwise(number)))
 
 
 def number_key(c: Column) -> Column:
@@ -54,7 +60,7 @@ def read_sources(vouchers: DataFrame, samples: DataFrame, zones: DataFrame) -> t
     within the id (id_surname, id_number), lat, lon, county, state, taxon of each distinct delivery. ``zones``:
     state_key, state_norm, zone_name. Free fields of both sources are read in one pass.
     """
-    parts = r"^([^_]+)_(.*)_(\d{4}-\d{2}-\d{2})$"
+    parts = r"^[^_]+_.*_\d{4}-\d{2}-\d{2}$"
     state_key = lambda c: F.lower(F.trim(c)).alias("state_key")
     lat, lon = F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon")
     v = vouchers.filter(F.col("catalogNumber").isNotNull()).select(
@@ -68,7 +74,7 @@ def read_sources(vouchers: DataFrame, samples: DataFrame, zones: DataFrame) -> t
         "eventDate", nothing("int", "year"), nothing("int", "month"), nothing("int", "day"), lat, lon, "county", F.col("taxon_raw").alias("taxon"), state_key("stateProvince"), nothing("string", "key"),
     )
     # written once: the key's patterns are matched once a row, not once for each column made of it
-    both = cut_table(v.unionByName(s).join(zones, "state_key", "left")).withColumn("key", F.when(F.col("key").rlike(parts), F.col("key")))
+    both = cut_table(v.unionByName(s).withColumn("key", F.regexp_extract("key", parts, 0)).join(zones, "state_key", "left")).withColumn("key", F.nullif("key", F.lit("")))
     surname, date = F.substring_index("key", "_", 1), F.right(F.col("key"), F.lit(10))
     number = F.substring(F.col("key"), F.length(surname) + 2, F.length("key") - F.length(surname) - 12)
     place = ["lat", "lon", "county", F.coalesce("state_norm", "state_key").alias("state"), "taxon"]
@@ -172,10 +178,10 @@ def candidates_of_rule(rule: int, rest: DataFrame, known: DataFrame) -> DataFram
         return _met(coded, known.filter("length(surname) >= 2").select(start("surname"), "surname", "number", *place), ["start", "number"], where=begun)
     if rule == 4:
         return _on_day(rest.dropna(subset=["surname", "date"]).select("surname", "date", "number", *mine), known)
-    if rule == 5:
-        return _met(rest.select("number", "date", *mine), known.filter("surname IS NULL").select("number", "date", *place), ["number", "date"])
-    if rule == 6:
-        return _met(rest.select("surname", "number", *mine), known.filter("date IS NULL").select("surname", "number", *place), ["surname", "number"])
+    if rule in (5, 6):  # sheets without a collector or date are gatherings of their own: equal places are one class
+        on, missing = (["number", "date"], "surname") if rule == 5 else (["surname", "number"], "date")
+        classes = known.filter(F.col(missing).isNull()).dropna(subset=on).groupBy(*on, *PLACE).agg(F.min("gathering").alias("gathering"))
+        return _met(rest.select(*on, *mine), classes, on)
     on = ["surname", "number", "date"]
     open_ = rest.filter("length(surname) >= 2").dropna(subset=on).select(*on, *mine)
     same = known.filter("length(surname) >= 2").select(*on, *place).join(open_.select("number", "date").distinct(), ["number", "date"], "left_semi")
@@ -224,8 +230,7 @@ def link_samples(samples: DataFrame, sheets: DataFrame, counties: DataFrame, tax
     listed = lambda df, entry, meant: df.select(F.col(entry).alias("entry"), F.col(meant).alias("meant"))
     lists = {"county": (listed(counties, "county_norm", "county_norm"), "place"), "taxon": (listed(taxa, "raw_name_lower", "canonical_packera"), "taxon")}
     mine, theirs = _meant([samples, sheets], lists)
-    known = theirs.groupBy(*keys, F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "county", "state", "taxon").agg(F.min("gathering").alias("gathering"))
-    known = cut_table(known)
+    known = cut_table(theirs.select("gathering", *keys, F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "county", "state", "taxon").distinct())
     samples = mine.select("sample", "pair", *keys, "id_surname", "id_number", *[F.col(c).alias(s) for c, s in zip(PLACE, THEIRS, strict=True)]).distinct()
     # labelled samples are tested by every rule; all others go on only while no pass has resolved them
     samples = cut_table(samples.join(labels.select("sample", F.lit(True).alias("tested")), "sample", "left"))

@@ -30,7 +30,9 @@ def gathering_key(key: Column) -> Column:
     text = F.regexp_replace(text, r"_(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "_$1-0$2-0$3")
     text = F.regexp_replace(text, r"_(\d{4})-0?(\d{2})-0?(\d{2})$", "_$1-$2-$3")
     text = F.regexp_replace(text, r"_(?:#|no\.? ?|nr\.? ?)?0*(\d+[a-z]?)_(?=\d{4}-)", "_$1_")
-    return F.nullif(text, F.lit(""))
+    # most keys are written so already, which one pattern tells; the others' patterns stand here once, so they run once
+    done = key.rlike(r"^[a-z]+_[1-9][0-9]*[a-z]?_[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return F.when(done, key).when(F.trim(key) != "", text)
 
 
 def surviving_records(
