@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_table
+from .inference import in_tiles
+
 
 def round_robin(rows: DataFrame, group: str, buckets: list[str], order: list[Column], most: int) -> DataFrame:
     """At most ``most`` rows a group, taken in turn from its buckets: first the best of each bucket, then the second
@@ -51,36 +54,48 @@ def greedy_thinning(points: DataFrame, group: str, point_id: str, lat: str, lon:
     """``point_id`` of the points kept: by falling ``rank``, then rising id, each is kept unless one already kept is
     nearer than ``km``; those with ``keep`` true stay anyway.
 
-    The rule is sequential within a group only through neighbours, so kept points are held in cells of the distance
-    and a candidate looks at nine cells; groups are independent tasks. Points without coordinates are kept.
+    The rule is sequential only through neighbours. Tiles are tasks but not borders: a tile also sees the points within
+    ``km`` around it and settles those of its own that no earlier open point can change; tiles shift from round to round
+    until all are settled. Of points of one place only the first can stay, so a crowded place is one point. Points
+    without coordinates are kept.
     """
+    if km <= 0:
+        return points.select(point_id)
     kind = points.schema[point_id].dataType.simpleString()
     flag = F.col(keep) if keep else F.lit(False)
-    rows = points.select(F.col(group).cast("string").alias("grp"), F.col(point_id).alias("pid"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(rank).cast("double").alias("rank"), F.coalesce(flag, F.lit(False)).alias("keep"))
+    rows = points.select(F.col(group).cast("string").alias("b"), F.col(point_id).alias("p"), F.radians(lat).alias("la"), F.radians(lon).alias("lo"), F.col(rank).cast("double").alias("rank"), F.coalesce(flag, F.lit(False)).alias("keep"))
+    placed = F.col("la").isNotNull() & F.col("lo").isNotNull() & ~F.isnan("la") & ~F.isnan("lo")
+    rows = cut_table(rows.withColumn("placed", placed))
+    first = F.min(F.struct(F.col("rank").isNull(), -F.col("rank"), "p", "rank"))
+    one = rows.filter("placed AND NOT keep").groupBy("b", "la", "lo").agg(first.alias("f")).select("b", "f.p", "la", "lo", "f.rank", F.lit(False).alias("keep"))
+    state = one.unionByName(rows.filter("placed AND keep").select("b", "p", "la", "lo", "rank", "keep")).withColumn("status", F.when(F.col("keep"), 1).otherwise(0))
+    reach = km / 6371.0 * (1 + 1e-9)
+    chord = 2 * math.sin(min(reach, math.pi) / 2) * (1 + 1e-9)
+    around = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    columns = ["b", "p", "la", "lo", "rank", "keep", "status"]
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "pid"], ascending=[False, True], na_position="last")
-        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        height = math.degrees(km / 6371.0)
-        kept = []
-        for pid, la, lo, stay in zip(pdf["pid"], pdf["lat"], pdf["lon"], pdf["keep"], strict=True):
-            if la is None or lo is None or la != la or lo != lo:
-                kept.append(pid)
-                continue
-            band = math.floor(la / height)
-            reach = max(1, math.ceil(1 / max(1e-6, math.cos(math.radians(min(89.9, abs(la) + height))))))
-            col = math.floor(lo / height)
-            if not stay:
-                near = [p for b in (band - 1, band, band + 1) for c in range(col - reach, col + reach + 1) for p in cells.get((b, c), ())]
-                if near:
-                    other = np.radians(np.array(near))
-                    if (_km(math.radians(la), math.radians(lo), other[:, 0], other[:, 1]) < km).any():
-                        continue
-            kept.append(pid)
-            cells.setdefault((band, col), []).append((la, lo))
-        return pd.DataFrame({"pid": kept})
-
-    return rows.groupBy("grp").applyInPandas(thin, f"pid {kind}").withColumnRenamed("pid", point_id)
+        pdf = pdf.sort_values(["rank", "p"], ascending=[False, True], na_position="last")
+        la, lo, own, status = pdf["la"].to_numpy(), pdf["lo"].to_numpy(), pdf["own"].to_numpy(), pdf["status"].to_numpy().copy()
+        if (status[own] == 0).any():
+            cells = np.floor(np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1) / chord).astype(int)
+            filed: dict[tuple[int, int, int], list[int]] = {}  # earlier points that are kept or open
+            for i, (x, y, z) in enumerate(cells.tolist()):
+                if own[i] and status[i] == 0:
+                    near = np.array([j for dx, dy, dz in around for j in filed.get((x + dx, y + dy, z + dz), ())], int)
+                    near = near[_km(la[i], lo[i], la[near], lo[near]) < km]
+                    status[i] = 2 if (status[near] == 1).any() else 0 if len(near) else 1
+                if status[i] != 2:
+                    filed.setdefault((x, y, z), []).append(i)
+        return pdf.assign(status=status).loc[own, columns]
+
+    turn = 0
+    while True:
+        shift = ((0.0, 0.0), (0.5, 0.5), (0.0, 0.5), (0.5, 0.0))[turn % 4]
+        state = cut_table(in_tiles(state, reach, shift).groupBy("b", "ty", "tx").applyInPandas(thin, f"b string, p {kind}, la double, lo double, rank double, keep boolean, status int"))
+        if state.filter("status = 0").isEmpty():
+            return state.filter("status = 1").select("p").unionByName(rows.filter("NOT placed").select("p")).withColumnRenamed("p", point_id)
+        turn += 1
 
 
 def density_weights(points: DataFrame, pairs: DataFrame, point_id: str, group: str, km: float = 25.0) -> DataFrame:

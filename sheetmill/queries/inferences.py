@@ -82,6 +82,11 @@ def q_differentiation(spark: SparkSession, d: str) -> DataFrame:
     return N.differentiation(N.divergence(cells, _groups(cells))).select("a", "b", F.round("gdi", 5).alias("gdi"))
 
 
+def q_lineages(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return N.lineages(cells, _groups(cells)).select("group", "sister", *[F.round(c, 5).alias(c) for c in ("theta", "dxy", "tau", "gdi", "low", "high")], "kind")
+
+
 def q_hybrid_index(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
     parents = _groups(cells).filter("group < 2").select("sample", (F.col("group") + 1).alias("parent"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetmill.functions import habitat as H, scalar as S
-from sheetmill.operators import cohorts as C, genomics as Q, seasons as Y, stats as M
+from sheetmill.operators import cohorts as C, genomics as Q, inference as N, seasons as Y, stats as M
 from sheetmill.operators.duplicates import merge_split_plants
 from sheetmill.operators.proximity import near_pairs, near_spots
 from sheetmill.session import shared_folder
@@ -203,3 +203,15 @@ def test_split_plants_are_merged(spark):
     assert got == {1: (1, 1), 2: (3, 1), 3: (3, 2), 4: (4, 1), 5: (9, 1), 6: (1, None), 7: (None, None)}
     wide = merge_split_plants(spark.createDataFrame(plants, "sheet string, plant int, x double, y double, h double"), spark.createDataFrame(leaves, "id int, sheet string, plant int, leaf int"), "sheet", "plant", "leaf", "x", "y", ("h",), F.lit(2.5))
     assert {r["id"]: (r["merged_plant"], r["merged_leaf"]) for r in wide.collect() if r["id"] < 4} == {2: (3, 1), 3: (3, 2), 1: (3, 3)}
+
+
+def test_lineages(spark):
+    rng = random.Random(9)
+    share = {"a": lambda k: 0.5, "b": lambda k: 0.5, "c": lambda k: 0.95 if k % 2 else 0.05}
+    cells = [(f"{g}{i}", k, sum(rng.random() < p(k) for _ in range(2)) / 2) for g, p in share.items() for i in range(12) for k in range(300)] + [("a0", 999, None)]
+    df = spark.createDataFrame(cells, "sample string, locus int, dosage double")
+    members = df.select("sample").distinct().withColumn("group", F.substring("sample", 1, 1))
+    got = {r["group"]: r for r in N.lineages(df, members).collect()}
+    assert got["a"]["sister"] == "b" and got["b"]["sister"] == "a" and got["a"]["kind"] == "single" and got["a"]["gdi"] < 0.05
+    assert got["c"]["kind"] == "distinct" and got["c"]["low"] <= got["c"]["gdi"] <= got["c"]["high"] and got["c"]["high"] - got["c"]["low"] < 0.1
+    assert N.lineages(df.limit(0), members).count() == 0
