@@ -12,7 +12,7 @@ from .leakage import clean_text, leaked_passages, leaks
 from .linkage import link_samples, read_sources
 from .names import link_names, name_pairs
 from .packing import fill_containers
-from .shared_spans import merged_intervals, shared_intervals, shared_share, window_intervals
+from .shared_spans import merged_intervals, shared_intervals, shared_share
 from .survivors import gathering_key, surviving_records, tier_rank
 
 FILLED = ("identifiedBy", "type_status", "county", "locality", "decimalLatitude", "decimalLongitude", "coordinateUncertainty", "image_path")
@@ -106,12 +106,7 @@ def p10_intervals(spark: SparkSession, d: str) -> DataFrame:
     return merged_intervals(shared_intervals(table(spark, d, "documents").select("doc_id", "text")))
 
 
-def p10_windows(spark: SparkSession, d: str) -> DataFrame:
-    """As p10_intervals, from a row for every window: what p10_intervals is compared with."""
-    return merged_intervals(window_intervals(table(spark, d, "documents").select("doc_id", "text")))
-
-
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_clean": p9_clean, "p10_found": p10_found, "p10_intervals": p10_intervals, "p10_windows": p10_windows}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_clean": p9_clean, "p10_found": p10_found, "p10_intervals": p10_intervals}
 _GRAMS = """SELECT DISTINCT {i}, unnest(list_transform(range(1, len(w) - 18), lambda k: array_to_string(w[k:k + 19], ' '))) AS gram
   FROM (SELECT {i}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {t})"""
 P9_FOUND_SQL = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(i='doc_id', t='documents')}) JOIN ({_GRAMS.format(i='item_id', t='eval_items')}) USING (gram)"
@@ -128,4 +123,4 @@ m AS (SELECT doc_id, s.i AS i, coalesce(s.i - lag(s.i) OVER (PARTITION BY doc_id
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m)
 SELECT doc_id, (min(i) - 1)::int AS start, (max(i) + 199)::int AS stop FROM n GROUP BY doc_id, island
 """
-SQL = {"p2_found": P2_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL, "p10_intervals": P10_INTERVALS_SQL, "p10_windows": P10_INTERVALS_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL, "p10_intervals": P10_INTERVALS_SQL}
