@@ -207,7 +207,7 @@ def test_split_plants_are_merged(spark):
 
 def test_lineages(spark):
     rng = random.Random(9)
-    share = {"a": lambda k: 0.5, "b": lambda k: 0.5, "c": lambda k: 0.95 if k % 2 else 0.05}
+    share = {"a": lambda k: 0.2, "b": lambda k: 0.2, "c": lambda k: 0.95 if k % 2 else 0.05}
     cells = [(f"{g}{i}", k, sum(rng.random() < p(k) for _ in range(2)) / 2) for g, p in share.items() for i in range(12) for k in range(300)] + [("a0", 999, None)]
     df = spark.createDataFrame(cells, "sample string, locus int, dosage double")
     members = df.select("sample").distinct().withColumn("group", F.substring("sample", 1, 1))
