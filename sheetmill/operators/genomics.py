@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.genotype import kmers
@@ -13,8 +17,10 @@ from ..session import cut_table
 
 LEAST_READS = 10.0
 #: Samples on each side of a task's pairs, and loci compared at once.
-PAIR_SAMPLES = 128
+PAIR_SAMPLES = 2048
 PAIR_LOCI = 256
+#: Twice the least common multiple of 1 to 16: means of up to 16 calls of 0, 0.5 and 1 are multiples of 1 / UNIT.
+UNIT = 1_441_440
 
 
 def paralog_filter(cells: DataFrame, h_max: float = 0.6, d_max: float = 4.0) -> DataFrame:
@@ -44,110 +50,283 @@ def rescaled_dosage(cells: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(top)).withColumn("dosage", F.col("dosage") / scale).drop("__m")  # one row
 
 
+def _pair_sums(x: np.ndarray, y: np.ndarray, sums: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """(sums of absolute differences, in 1 / UNIT, and numbers) over the rows in which both columns are known; rows are loci,
+    columns samples.
+
+    Differences are taken over all rows with 0 for the unknown, and what the unknown added is taken off again by matrix
+    products. Dosages that are multiples of 1 / UNIT, as means of up to 16 calls are, are summed as whole numbers."""
+    kx, ky = ~np.isnan(x), ~np.isnan(y)
+    n = kx.T.astype("f4") @ ky.astype("f4")
+    if not sums:
+        return None, n
+    x, y = np.where(kx, x, 0.0) * UNIT, np.where(ky, y, 0.0) * UNIT
+    whole = [np.rint(v) for v in (x, y)]
+    if all(np.abs(v - w).max(initial=0) < 5e-10 and np.abs(w).max(initial=0) <= UNIT for v, w in zip((x, y), whole, strict=True)) and len(x) * 2 * UNIT < 2**31:
+        x, y = (w.astype("i4") for w in whole)
+    x, y = np.ascontiguousarray(x), np.ascontiguousarray(y)
+    (rows, a), b = x.shape, y.shape[1]
+    gone, other = (~ky).astype(float), np.abs(y).astype(float)
+    s = np.empty((a, b))
+    for i in range(0, a, 32):
+        xi = x[:, i : i + 32, None]
+        for j in range(0, b, 512):
+            yj = y[:, None, j : j + 512]
+            total = np.zeros((xi.shape[1], yj.shape[2]), x.dtype)
+            diff = np.empty_like(total)
+            for k in range(rows):
+                np.subtract(xi[k], yj[k], out=diff)
+                np.abs(diff, out=diff)
+                np.add(total, diff, out=total)
+            s[i : i + 32, j : j + 512] = total
+    for i in range(0, a, 256):
+        s[i : i + 256] -= np.abs(x[:, i : i + 256]).T.astype(float) @ gone + (~kx[:, i : i + 256]).T.astype(float) @ other
+    return np.maximum(s, 0, out=s), n
+
+
 class _Pairs:
-    """Sums of one block of pairs: dosage differences and shared loci, samples of either side in order of arrival."""
+    """Sums of one pair of blocks: dosage differences (in 1 / UNIT) and shared loci, samples of either side in order of arrival."""
 
     def __init__(self, key: tuple) -> None:
-        self.key, self.at = key, ({}, {})
-        self.s, self.n = np.zeros((8, 8)), np.zeros((8, 8))
-
-    def add(self, rows: pd.DataFrame, sides: list[np.ndarray]) -> None:
-        """``rows`` of one block of loci; ``sides``: the positions of those of the first and the second side."""
-        loci = {x: i for i, x in enumerate(sorted({x for c in rows["cells"] for x in c["locus"]}))}
-        grids = []
-        for at, positions in zip(self.at, sides, strict=True):
-            for name in rows["sample"].iloc[positions]:
-                at.setdefault(name, len(at))
-            grids.append(np.full((len(at), len(loci)), np.nan))
-            for name, c in zip(rows["sample"].iloc[positions], rows["cells"].iloc[positions], strict=True):
-                grids[-1][at[name], [loci[x] for x in c["locus"]]] = c["dosage"]
-        x, y = grids
-        short = max(0, len(x) - self.s.shape[0]), max(0, len(y) - self.s.shape[1])
-        if any(short):
-            grow = [(0, max(k, n) if k else 0) for k, n in zip(short, self.s.shape, strict=True)]
-            self.s, self.n = np.pad(self.s, grow), np.pad(self.n, grow)
-        s, n = self.s[: len(x), : len(y)], self.n[: len(x), : len(y)]
-        n += (~np.isnan(x)).astype(float) @ (~np.isnan(y)).T.astype(float)
-        for k in range(x.shape[1]):
-            s += np.nan_to_num(np.abs(x[:, k, None] - y[None, :, k]))
-
-    def rows(self) -> pd.DataFrame:
-        part, pa, pb = self.key
-        a, b = (np.array(list(side), dtype=object) for side in self.at)
-        i, j = np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij")
-        left, right = a[i.ravel()], b[j.ravel()]
-        first = np.array([x < y for x, y in zip(left, right, strict=True)], bool)
-        keep = first if pa == pb else np.ones(len(first), bool)
-        s, n = self.s[: len(a), : len(b)].ravel(), self.n[: len(a), : len(b)].ravel()
-        return pd.DataFrame({"part": part, "a": np.where(first, left, right)[keep], "b": np.where(first, right, left)[keep], "s": s[keep], "n": n[keep].astype("int64")})
+        self.pa, self.pb, self.part = key
+        self.at, self.s, self.n = ({}, {}), None, None
+
+    def add(self, sides: list[tuple | None], sums: bool) -> None:
+        """``sides``: (samples, loci, dosages) of one chunk of loci, None where the block has no call in it."""
+        places = [np.array([at.setdefault(x, len(at)) for x in (side[0].tolist() if side else [])], int) for at, side in zip(self.at, sides, strict=True)]
+        if all(sides):
+            _, i, j = np.intersect1d(sides[0][1], sides[1][1], assume_unique=True, return_indices=True)
+            s, n = _pair_sums(sides[0][2][:, i].T, sides[1][2][:, j].T, sums)
+        if self.n is None and all(sides):
+            if all(len(at) == len(p) for at, p in zip(self.at, places, strict=True)):
+                self.s, self.n = s, n
+                return
+        self._grow(sums)
+        if all(sides):
+            where = np.ix_(*places)
+            self.n[where] += n
+            if sums:
+                self.s[where] += s
+
+    def _grow(self, sums: bool) -> None:
+        shape = tuple(len(at) for at in self.at)
+        old = (0, 0) if self.n is None else self.n.shape
+        more = [(0, k - o) for k, o in zip(shape, old, strict=True)]
+        self.n = np.pad(np.zeros(old, "f4") if self.n is None else self.n, more)
+        if sums:
+            self.s = np.pad(np.zeros(old) if self.s is None else self.s, more)
+
+    def samples(self, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(pa.array(list(at), kind).to_numpy(zero_copy_only=False) for at in self.at)
+
+
+class Packed:
+    """Called cells as dense blocks of samples by chunks of loci, each value one small code; a row a block, part and chunk."""
+
+    def __init__(self, cells: DataFrame, by: str | None = None) -> None:
+        self.kind, self.locus = (cells.schema[c].dataType.simpleString() for c in ("sample", "locus"))
+        part = F.lit(0).cast("bigint") if by is None else F.col(by).cast("bigint")
+        self.known = cut_table(cells.filter("dosage IS NOT NULL AND sample IS NOT NULL").select("sample", "locus", F.col("dosage").cast("double").alias("dosage"), part.alias("part")).filter("part IS NOT NULL"))
+        n = self.known.agg(F.approx_count_distinct("sample")).first()[0]
+        loci = self.known.groupBy("part").agg(F.approx_count_distinct("locus").alias("n")).agg(F.max("n")).first()[0]
+        self.n_blocks, self.n_chunks = max(1, -(-n // PAIR_SAMPLES), min(8, -(-n // 64))), max(1, -(-(loci or 0) // PAIR_LOCI))
+        self.held = cut_table(self.pack(self.known, F.pmod(F.xxhash64("sample"), F.lit(self.n_blocks))))
+
+    def pack(self, known: DataFrame, block: Column) -> DataFrame:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            i, samples = pd.factorize(pdf["sample"])
+            j, loci = pd.factorize(pdf["locus"])
+            grid = np.full((len(samples), len(loci)), np.nan)
+            there = j >= 0
+            grid[i[there], j[there]] = pdf["dosage"].to_numpy()[there]
+            levels, codes = np.unique(grid, return_inverse=True)
+            if len(levels) > 65535:
+                levels, codes = levels[:0], grid
+            else:
+                codes = codes.astype("u1" if len(levels) < 256 else "u2")
+            return pd.DataFrame([(*key, list(samples), list(loci), levels.tobytes(), zlib.compress(codes.tobytes(), 1))], columns=["block", "part", "chunk", "samples", "loci", "levels", "codes"])
+
+        chunk = F.pmod(F.xxhash64("locus"), F.lit(self.n_chunks))
+        grouped = known.groupBy(block.cast("bigint").alias("block"), "part", chunk.cast("bigint").alias("chunk"))
+        return grouped.applyInPandas(run, f"block bigint, part bigint, chunk bigint, samples array<{self.kind}>, loci array<{self.locus}>, levels binary, codes binary")
+
+    def over_pairs(self, finish: Callable, schema: str, sums: bool = True) -> DataFrame:
+        """The rows that ``finish(pairs, kind)`` makes of each pair of blocks and part, kind the Arrow type of samples. A
+        task holds the sums of one pair of blocks and adds a chunk of loci at a time, so its memory grows neither with
+        the loci nor with the samples."""
+        both = self.held.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(self.n_blocks - 1))))
+        both = both.select(F.least("block", "other").alias("pa"), F.greatest("block", "other").alias("pb"), "part", "chunk", "block", "samples", "loci", "levels", "codes")
+        n = min(2048, self.n_blocks * (self.n_blocks + 1) // 2)
+        return both.repartition(n, "pa", "pb").sortWithinPartitions("pa", "pb", "part", "chunk").mapInArrow(lambda batches: _finished(batches, finish, sums), schema)
+
+
+def mean_difference(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of sums in 1 / UNIT, divided once, so that a mean of whole sums is the double nearest to it."""
+    return s / (n.astype(float) * UNIT)
+
+
+def rounded_difference(s: np.ndarray, n: np.ndarray, digits: int) -> np.ndarray:
+    """As mean_difference, rounded half up; whole numbers are divided, so that a half is seen as such."""
+    all_, scale = n.astype(float) * UNIT, 10.0**digits
+    return np.floor((s * (2 * scale) + all_) / (2 * all_)) / scale
+
+
+def _unpacked(samples: pa.Array, loci: pa.Array, levels: bytes, codes: bytes) -> tuple:
+    table, raw = np.frombuffer(levels), zlib.decompress(codes)
+    grid = table[np.frombuffer(raw, "u1" if len(table) < 256 else "u2")] if len(table) else np.frombuffer(raw)
+    names = [x.to_numpy(zero_copy_only=False) for x in (samples, loci)]
+    return *names, grid.reshape(len(names[0]), len(names[1]))
+
+
+def _finished(batches: Iterator[pa.RecordBatch], finish: Callable, sums: bool) -> Iterator[pa.RecordBatch]:
+    """``finish`` of each (pa, pb, part) of sorted rows; a chunk has one row of either block, of one block alone the same on both sides."""
+    kind = None
+
+    def rows() -> Iterator[tuple]:
+        nonlocal kind
+        for batch in batches:
+            kind = batch.column("samples").type.value_type
+            keys = batch.select(["pa", "pb", "part", "chunk", "block"]).to_pandas().to_numpy()
+            samples, loci, levels, codes = (batch.column(c) for c in ("samples", "loci", "levels", "codes"))
+            for i, key in enumerate(keys.tolist()):
+                yield tuple(key[:4]), key[4], (samples[i].values, loci[i].values, levels[i].as_py(), codes[i].as_py())
+
+    for key, chunks in groupby(rows(), lambda r: r[0][:3]):
+        pairs = _Pairs(key)
+        for _, chunk in groupby(chunks, lambda r: r[0]):
+            own = {block: _unpacked(*row) for _, block, row in chunk}
+            pairs.add([own.get(key[0]), own.get(key[1])], sums)
+        yield from finish(pairs, kind)
+
+
+def _listed(pairs: _Pairs, kind: pa.DataType, keep: Callable[[np.ndarray], np.ndarray], value: Callable | None, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows a < b, value and n of the pairs whose number ``keep`` takes, some rows of the grid at a time."""
+    a, b = pairs.samples(kind)
+    names = np.concatenate([a, b])
+    rank = np.unique(names, return_inverse=True)[1]
+    names, ra, rb = pa.array(names, kind), rank[: len(a)], rank[len(a) :]
+    step = max(1, 2**18 // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        n = pairs.n[lo : lo + step]
+        first = ra[lo : lo + step, None] < rb[None, :]
+        kept = keep(n) & first if pairs.pa == pairs.pb else keep(n)
+        if not kept.any():
+            continue
+        i, j = np.arange(lo, lo + len(n), dtype="i4")[:, None], np.arange(len(a), len(names), dtype="i4")[None, :]
+        left, right, n = (x.ravel() if kept.all() else x[kept] for x in (np.where(first, i, j), np.where(first, j, i), n))
+        out = [names.take(pa.array(left)), names.take(pa.array(right))]
+        if value is not None:
+            s = pairs.s[lo : lo + step]
+            out.append(pa.array(value(s.ravel() if kept.all() else s[kept], n)))
+        out.append(pa.array(n.astype("int64")))
+        if "part" in columns:
+            out.insert(0, pa.array(np.full(len(n), pairs.part)))
+        yield pa.RecordBatch.from_arrays(out, columns)
 
 
 def pair_differences(cells: DataFrame, by: str | None = None) -> DataFrame:
     """part, a < b, s, n: the sum of absolute dosage differences over the n loci that two samples share, for all pairs of
-    samples called at some locus, within each value of ``by`` (one part without).
-
-    Samples are dealt to blocks; a task holds the sums of one pair of blocks and streams through the loci in bounded
-    arrays, so its memory grows neither with the loci nor with the samples."""
-    kind = cells.schema["sample"].dataType.simpleString()
-    part = F.lit(0).cast("bigint") if by is None else F.col(by).cast("bigint")
-    known = cells.filter("dosage IS NOT NULL").select("sample", "locus", F.col("dosage").cast("double").alias("dosage"), part.alias("part"))
-    counts = known.agg(F.approx_count_distinct("sample").alias("s"), F.approx_count_distinct("locus").alias("l")).first()
-    n_blocks, n_loci = max(1, -(-counts["s"] // PAIR_SAMPLES)), max(1, -(-counts["l"] // PAIR_LOCI))
-    held = known.groupBy("part", F.pmod(F.xxhash64("locus"), F.lit(n_loci)).alias("loci"), "sample").agg(F.collect_list(F.struct("locus", "dosage")).alias("c"))
-    held = held.select("part", "loci", "sample", F.struct(F.transform("c", lambda x: x["locus"]).alias("locus"), F.transform("c", lambda x: x["dosage"]).alias("dosage")).alias("cells"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("sample"), F.lit(n_blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    held = held.select("part", F.least("own", "other").alias("pa"), F.greatest("own", "other").alias("pb"), "loci", "own", "sample", "cells")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, key, waiting = None, None, []
-
-        def settle() -> None:
-            rows = pd.concat(waiting)
-            own = rows["own"].to_numpy()
-            sums.add(rows, [np.flatnonzero(own == sums.key[1]), np.flatnonzero(own == sums.key[2])])
-
-        for pdf in batches:
-            edge = (pdf[["part", "pa", "pb", "loci"]].diff().fillna(0) != 0).any(axis=1).to_numpy().nonzero()[0]
-            for lo, hi in zip([0, *edge], [*edge, len(pdf)], strict=True):
-                piece = pdf.iloc[lo:hi]
-                if not len(piece):
+    samples called at some locus, within each value of ``by`` (one part without)."""
+    packed = Packed(cells, by)
+    finish = lambda pairs, kind: _listed(pairs, kind, lambda n: n >= 0, lambda s, _: s / UNIT, ["part", "a", "b", "s", "n"])
+    return packed.over_pairs(finish, f"part bigint, a {packed.kind}, b {packed.kind}, s double, n bigint")
+
+
+def _detours(packed: Packed, open_: DataFrame, need: int) -> DataFrame:
+    """a, b, via: for pairs of ``open_`` the mean of the detours over all third samples with a measured distance to both.
+
+    The samples of open pairs are dealt to halves; two halves make a group, which holds the pairs between them and meets
+    every block of samples in turn. What a task holds are the pairs of one group and the distances to one block."""
+    ends = open_.select(F.col("a").alias("sample")).union(open_.select(F.col("b").alias("sample"))).distinct()
+    halves = max(1, -(-ends.count() // (PAIR_SAMPLES // 2)))
+    half = lambda c: F.pmod(F.xxhash64(c), F.lit(halves))
+    grouped = cut_table(open_.select("a", "b", (F.least(half("a"), half("b")) * halves + F.greatest(half("a"), half("b"))).alias("pa")))
+    members = grouped.select("pa", F.col("a").alias("sample")).union(grouped.select("pa", F.col("b").alias("sample"))).distinct()
+    groups = grouped.select("pa").distinct()
+    lanes = min(packed.n_blocks, max(1, -(-64 // groups.count())))
+    own = packed.pack(packed.known.join(members, "sample"), F.col("pa")).withColumnRenamed("block", "pa").withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(packed.n_blocks - 1))))
+    held = packed.held.withColumnRenamed("block", "pb").crossJoin(groups)  # every group meets every block
+    listed = grouped.groupBy("pa").agg(F.collect_list(F.struct("a", "b")).alias("p")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    common = ["part", "chunk", "samples", "loci", "levels", "codes"]
+    none = [F.lit(0).alias("part"), F.lit(0).alias("chunk")], [F.lit(None).alias(c) for c in common[3:]]
+    rows = own.select("pa", "pb", F.lit(0).alias("side"), *common).union(held.select("pa", "pb", F.lit(1).alias("side"), *common)).withColumn("lane", F.pmod("pb", F.lit(lanes)))
+    for side, c in enumerate("ab"):
+        rows = rows.unionByName(listed.select("pa", F.lit(-1).alias("pb"), F.lit(side).alias("side"), *none[0], F.col(f"p.{c}").alias("samples"), *none[1], "lane"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, state = None, None
+
+        def entries() -> Iterator[tuple]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.column("samples").type.value_type
+                keys = batch.select(["pa", "lane", "pb", "chunk", "side"]).to_pandas().to_numpy()
+                for i, key in enumerate(keys.tolist()):
+                    yield tuple(key), [batch.column(c)[i] for c in common[2:]]
+
+        for (group, _), per_lane in groupby(entries(), lambda r: r[0][:2]):
+            for pb, per_block in groupby(per_lane, lambda r: r[0][2]):
+                if pb < 0:
+                    a, b = (row[0].values.to_numpy(zero_copy_only=False) for _, row in per_block)
+                    state = a, b, np.zeros(len(a)), np.zeros(len(a))
                     continue
-                now = tuple(piece[["part", "pa", "pb", "loci"]].iloc[0])
-                if key is not None and now != key:
-                    settle()
-                    waiting = []
-                    if now[:3] != key[:3]:
-                        yield sums.rows()
-                        sums = None
-                sums, key = sums or _Pairs(now[:3]), now
-                waiting.append(piece)
-        if sums:
-            settle()
-            yield sums.rows()
-
-    order = ["part", "pa", "pb"]
-    return held.repartition(*order).sortWithinPartitions(*order, "loci").mapInPandas(run, f"part bigint, a {kind}, b {kind}, s double, n bigint")
-
-
-def allele_sharing(cells: DataFrame, few: float = 0.2, least: int | None = None) -> DataFrame:
+                pairs = _Pairs((group, pb, 0))
+                for _, chunk in groupby(per_block, lambda r: r[0][3]):
+                    sides = {key[4]: _unpacked(row[0].values, row[1].values, row[2].as_py(), row[3].as_py()) for key, row in chunk}
+                    pairs.add([sides.get(0), sides.get(1)], True)
+                o, k = pairs.samples(kind)
+                known = pairs.n >= need
+                _, i, j = np.intersect1d(o, k, assume_unique=True, return_indices=True)
+                known[i, j] = False
+                m, d = known.astype(float), np.where(known, mean_difference(pairs.s, np.maximum(pairs.n, 1)), 0.0)
+                sums, counts = d @ m.T, m @ m.T
+                order = np.argsort(o)
+                ia, ib = (order[np.searchsorted(o, x, sorter=order)] for x in state[:2])
+                state[2][:] += sums[ia, ib] + sums[ib, ia]
+                state[3][:] += counts[ia, ib]
+            yield pa.RecordBatch.from_arrays([pa.array(state[0], kind), pa.array(state[1], kind), pa.array(state[2]), pa.array(state[3])], ["a", "b", "s", "k"])
+
+    sums = rows.repartition("pa", "lane").sortWithinPartitions("pa", "lane", "pb", "chunk", "side").mapInArrow(run, f"a {packed.kind}, b {packed.kind}, s double, k double")
+    return sums.groupBy("a", "b").agg((F.sum("s") / F.nullif(F.sum("k"), F.lit(0.0))).alias("via"))
+
+
+def allele_sharing(cells: DataFrame, few: float = 0.2, least: int | None = None, digits: int | None = None) -> DataFrame:
     """a < b, distance, measured, n_shared: mean absolute dosage difference over the loci two samples share, for all
     pairs. It is measured where they share 150 loci, of fewer than 200 loci in all the share ``few`` of them and at least 10
     (with ``least`` given: so many loci, or that share of all where it is less). Else it is the mean of the detours over all third samples with a measured distance to both, or where there
-    is none the mean of all measured distances, or 0.25 (measured 0)."""
-    cells = cut_table(cells.filter("dosage IS NOT NULL").select("sample", "locus", "dosage"))
-    n_loci = cells.select("locus").distinct().count()
+    is none the mean of all measured distances, or 0.25 (measured 0).
+
+    Only pairs that are not measured are kept on disk; all others are listed as they are compared. With ``digits`` the
+    distances are rounded half up where they are made: for many pairs F.round takes longer than their comparison."""
+    packed = Packed(cells.select("sample", "locus", "dosage"))
+    n_loci = packed.known.select("locus").distinct().count()
     need = 150 if n_loci >= 200 else max(10, int(few * n_loci))
     if least is not None:
         need = min(least, max(1, int(few * n_loci)))
-    pairs = cut_table(pair_differences(cells).select("a", "b", F.when(F.col("n") >= need, F.col("s") / F.col("n")).alias("d"), F.col("n").alias("n_shared")))
-    known, open_ = pairs.filter("d IS NOT NULL"), pairs.filter("d IS NULL")
-    both = known.select("a", "b", "d").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    first = open_.select("a", "b").join(both.select("a", F.col("b").alias("k"), F.col("d").alias("d1")), "a")
-    detour = first.join(both.select(F.col("a").alias("k"), "b", F.col("d").alias("d2")), ["k", "b"]).groupBy("a", "b").agg(F.avg(F.col("d1") + F.col("d2")).alias("via"))
-    usual = known.agg(F.coalesce(F.avg("d"), F.lit(0.25)).alias("usual"))
-    filled = open_.join(detour, ["a", "b"], "left").crossJoin(F.broadcast(usual))  # one row
-    filled = filled.select("a", "b", F.coalesce("via", "usual").alias("distance"), F.lit(0).alias("measured"), "n_shared")
-    return known.select("a", "b", F.col("d").alias("distance"), F.lit(1).alias("measured"), "n_shared").unionByName(filled)
+    kind = packed.kind
+    value = mean_difference if digits is None else partial(rounded_difference, digits=digits)
+    known = packed.over_pairs(lambda p, k: _listed(p, k, lambda n: n >= need, value, ["a", "b", "distance", "n_shared"]), f"a {kind}, b {kind}, distance double, n_shared bigint")
+    known = known.select("a", "b", "distance", F.lit(1).alias("measured"), "n_shared")
+    open_ = cut_table(packed.over_pairs(lambda p, k: _listed(p, k, lambda n: n < need, None, ["a", "b", "n_shared"]), f"a {kind}, b {kind}, n_shared bigint", sums=False))
+    if open_.isEmpty():
+        return known
+    filled = cut_table(open_.join(_detours(packed, open_, need), ["a", "b"], "left"))
+    usual = 0.25
+    if not filled.filter("via IS NULL").isEmpty():
+
+        def total(p: _Pairs, _: pa.DataType) -> Iterator[pa.RecordBatch]:
+            at, twice = p.n >= need, 1
+            if p.pa == p.pb:
+                np.fill_diagonal(at, False)
+                twice = 2  # each pair is there in both orders
+            d = mean_difference(p.s[at], p.n[at])
+            yield pa.RecordBatch.from_arrays([pa.array([d.sum() / twice]), pa.array([len(d) // twice])], ["s", "k"])
+
+        s, k = packed.over_pairs(total, "s double, k bigint").agg(F.sum("s"), F.sum("k")).first()
+        usual = s / k if k else usual
+    distance = F.coalesce("via", F.lit(usual))
+    filled = filled.select("a", "b", (distance if digits is None else F.round(distance, digits)).alias("distance"), F.lit(0).alias("measured"), "n_shared")
+    return known.unionByName(filled)
 
 
 def collapse_replicates(cells: DataFrame, members: DataFrame, order: list[Column]) -> DataFrame:

@@ -49,7 +49,7 @@ def q_rescaled_dosage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_allele_sharing(spark: SparkSession, d: str) -> DataFrame:
-    return Q.allele_sharing(_cells(spark, d, PAIR_LOCI)).select("a", "b", F.round("distance", 6).alias("distance"), "measured", "n_shared")
+    return Q.allele_sharing(_cells(spark, d, PAIR_LOCI), digits=6).select("a", "b", "distance", "measured", "n_shared")
 
 
 def q_collapse_replicates(spark: SparkSession, d: str) -> DataFrame:

@@ -99,6 +99,35 @@ def test_pairs_across_sample_blocks(spark, monkeypatch):
         assert n == len(both) and abs(s - sum(both)) < 1e-9
 
 
+def test_sharing_keeps_no_table_of_pairs(spark, monkeypatch):
+    written, cut = [], Q.cut_table
+    monkeypatch.setattr(Q, "cut_table", lambda df: written.append(cut(df)) or written[-1])
+    cells = spark.range(300 * 12).selectExpr("id div 12 AS sample", "id % 12 AS locus", "(xxhash64(id) & 3) / 4D AS dosage")
+    got = Q.allele_sharing(cells)
+    assert got.count() == 300 * 299 // 2 and got.filter("measured = 0").count() == 0
+    assert sum(t.count() for t in written) < 300 * 299 // 4
+    half = spark.createDataFrame([(s, k, v if k == 0 else 0.0) for s, v in ((1, 0.625), (2, 0.0)) for k in range(200)], "sample int, locus int, dosage double")
+    assert Q.allele_sharing(half, digits=6).first()["distance"] == 0.003125 and Q.allele_sharing(half, digits=5).first()["distance"] == 0.00313
+
+
+def test_detours_across_groups(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PAIR_SAMPLES", 8)
+    rng = random.Random(8)
+    dosage = {(s, k): rng.choice([0.0, 0.3, 0.5, 1.0]) for s in range(40) for k in range(30) if rng.random() < (0.45 if s % 3 else 0.8)}
+    dosage |= {(40, 30): 1.0, (41, 30): 0.5}  # shares no locus with the others: no detour either
+    got = {(r["a"], r["b"]): r for r in Q.allele_sharing(spark.createDataFrame([(s, k, v) for (s, k), v in dosage.items()], "sample int, locus int, dosage double")).collect()}
+    d = {}
+    for a in range(42):
+        for b in range(a + 1, 42):
+            both = [abs(dosage[a, k] - dosage[b, k]) for k in range(31) if (a, k) in dosage and (b, k) in dosage]
+            d[a, b] = d[b, a] = sum(both) / len(both) if len(both) >= 10 else None
+    usual = np.mean([v for (a, b), v in d.items() if v is not None])
+    assert len(got) == 42 * 41 // 2 and 100 < sum(1 - r["measured"] for r in got.values()) < 800
+    for (a, b), r in got.items():
+        via = [d[a, k] + d[k, b] for k in range(42) if k not in (a, b) and d[a, k] is not None and d[k, b] is not None]
+        assert abs(r["distance"] - (d[a, b] if d[a, b] is not None else np.mean(via) if via else usual)) < 1e-12
+
+
 def test_boyce_and_mixtures(spark):
     rows = spark.range(2000).select((F.col("id") / 2000).alias("s"), ((F.col("id") * 7919) % 2000 < F.col("id")).cast("int").alias("y"))
     assert M.boyce_index(rows, "s", "y").first()[0] > 0.95
