@@ -10,8 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_table
-from .genomics import pair_differences
+from ..session import cut_table, release
+from .genomics import Packed, _Pairs, mean_difference
 from .stats import chi2_quantile
 
 #: Rows that one task fits at once. A larger group is fitted in hash parts, which only give the candidates for the one
@@ -288,12 +288,32 @@ def tip_distances(edges: DataFrame, tree: str = "file") -> DataFrame:
 
 
 def nearest_donors(cells: DataFrame, block: str, width: int = 10) -> DataFrame:
-    """a, b, share: how often b is a nearest other sample of a over blocks of loci; equal donors share the block."""
-    pairs = pair_differences(cells, block).filter(F.col("n") >= max(1, width // 2)).select(F.col("part").alias("blk"), "a", "b", F.round(F.col("s") / F.col("n"), 9).alias("d"))
-    d = cut_table(pairs.unionByName(pairs.select("blk", F.col("b").alias("a"), F.col("a").alias("b"), "d")))
-    least = d.groupBy("blk", "a").agg(F.min("d").alias("m"))
-    ties = d.join(least, ["blk", "a"]).filter("d = m")
-    size = ties.groupBy("blk", "a").agg(F.count("*").alias("k"))
-    per = ties.join(size, ["blk", "a"]).groupBy("a", "b").agg(F.sum(1 / F.col("k")).alias("s"))
+    """a, b, share: how often b is a nearest other sample of a over blocks of loci; equal donors share the block.
+    Distances are equal to nine places. Of each pair of sample blocks only every sample's nearest are kept."""
+    need = max(1, width // 2)
+
+    def nearest(pairs: _Pairs, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        a, b = pairs.samples(kind)
+        far = pairs.n < need
+        d = mean_difference(pairs.s, np.maximum(pairs.n, 1))
+        d *= 1e9
+        d += 0.5
+        d[far] = np.inf
+        if pairs.pa == pairs.pb:
+            np.fill_diagonal(d, np.inf)
+        for x, y, grid in [(a, b, d)] + [(b, a, d.T)] * (pairs.pa != pairs.pb):
+            if not grid.size:
+                continue
+            least = np.floor(grid.min(axis=1))
+            i, j = np.nonzero(grid < least[:, None] + 1)  # equal when rounded; none where all are infinite
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), pairs.part)), pa.array(x[i], kind), pa.array(y[j], kind), pa.array(least[i].astype("int64"))], ["blk", "a", "b", "d"])
+
+    packed = Packed(cells, block)
+    release(packed.known)
+    d = packed.over_pairs(nearest, f"blk bigint, a {packed.kind}, b {packed.kind}, d bigint")
+    near = d.groupBy("blk", "a").agg(F.min("d").alias("m"), F.collect_list(F.struct("d", "b")).alias("c"))
+    near = near.select("a", F.filter("c", lambda x: x["d"] == F.col("m")).alias("c"))
+    per = near.select("a", (1 / F.size("c")).alias("w"), F.explode("c").alias("c")).groupBy("a", F.col("c.b").alias("b")).agg(F.sum("w").alias("s"))
+    per = cut_table(per)
     total = per.groupBy("a").agg(F.sum("s").alias("t"))
     return per.join(total, "a").select("a", "b", (F.col("s") / F.col("t")).alias("share"))

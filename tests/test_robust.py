@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sheetmill.operators import robust as B
+from sheetmill.operators import genomics as G, robust as B
 
 
 def test_minimum_covariance_ignores_outliers(spark):
@@ -63,6 +63,26 @@ def test_donors_and_power(spark):
     assert power["n_harmonics"] == 1 and power["power"] > 0.99
 
 
+def test_donors_keep_no_table_of_pairs(spark, monkeypatch):
+    written, cut = [], B.cut_table
+    for module in (G, B):
+        monkeypatch.setattr(module, "cut_table", lambda df: written.append(df.count()) or cut(df))
+    monkeypatch.setattr(G, "PAIR_SAMPLES", 64)
+    x = np.random.default_rng(4).random((200, 20)).round(3)
+    x[7], x[9] = x[3], x[3]  # equal donors
+    got = {(r["a"], r["b"]): r["share"] for r in B.nearest_donors(spark.createDataFrame([(s, k, float(v), k // 10) for (s, k), v in np.ndenumerate(x)], "sample int, locus int, dosage double, blk int"), "blk", 10).collect()}
+    want = {}
+    for blk in (0, 1):
+        d = np.abs(x[:, None, blk * 10 : blk * 10 + 10] - x[None, :, blk * 10 : blk * 10 + 10]).mean(axis=2).round(9)
+        np.fill_diagonal(d, np.inf)
+        for a in range(200):
+            near = np.flatnonzero(d[a] == d[a].min())
+            for b in near:
+                want[a, int(b)] = want.get((a, int(b)), 0) + 0.5 / len(near)
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and got[3, 7] == 0.5
+    assert max(written) < 200 * 199 // 2
+
+
 def test_power_counts_fine_detail(spark, tmp_path):
     from sheetmill.queries.robusts import QUERIES
 
